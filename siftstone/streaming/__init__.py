@@ -1,0 +1 @@
+"""Incremental indexing of arriving file versions."""
