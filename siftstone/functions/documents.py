@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
@@ -18,48 +18,41 @@ def normalize_embedding_text(text: Column) -> Column:
     return F.regexp_replace(trim_space(valid), "\r\n|\r", "\n")
 
 
-def document_title(title: Column) -> Column:
-    clean = F.replace(normalize_embedding_text(title), F.lit("|"), F.lit("/"))
-    return F.when(clean == "", F.lit("none")).otherwise(clean)
+def build_documents(symbols: DataFrame, profile: Column) -> DataFrame:
+    """Symbols with their retrieval ``document``: a title and a labelled block.
 
+    The fields are cleaned in a projection of their own, so that each text is
+    gone through once however often the document mentions it.
+    """
+    fields = ["kind", "name", "qualified_name", "signature", "documentation", "file_context", "body"]
+    clean = symbols.select("*", profile.alias("profile_"), *[
+        normalize_embedding_text(F.col(name)).alias(f"{name}_") for name in [*fields, "path"]],
+        normalize_embedding_text(base_name(F.col("path"))).alias("base_"))
 
-def document_parts(path: Column, symbol: dict[str, Column] | None = None) -> tuple[Column, Column]:
-    """``(title, body)`` of the labelled block of one symbol."""
-    def field(name: str) -> Column:
-        return normalize_embedding_text((symbol or {}).get(name, F.col(name)))
+    def labelled(label: str, name: str, keep: Column | None = None) -> Column:
+        value = F.col(f"{name}_")
+        shown = value != "" if keep is None else (value != "") & keep
+        return F.when(shown, F.concat(F.lit(label), value)).otherwise(F.lit(""))
 
-    def labelled(label: str, value: Column, when: Column | None = None) -> Column:
-        keep = value != "" if when is None else (value != "") & when
-        return F.when(keep, F.concat(F.lit(label), value)).otherwise(F.lit(""))
-
-    name, qualified = field("name"), field("qualified_name")
     body = F.concat(
-        F.lit("Path: "), path,
-        labelled("\nKind: ", field("kind")),
-        labelled("\nName: ", name),
-        labelled("\nQualified name: ", qualified, qualified != name),
-        labelled("\nSignature:\n", field("signature")),
-        labelled("\nDocumentation:\n", field("documentation")),
-        labelled("\nFile context:\n", field("file_context")),
-        labelled("\nBody snippet:\n", field("body")),
+        F.lit("Path: "), F.col("path_"),
+        labelled("\nKind: ", "kind"),
+        labelled("\nName: ", "name"),
+        labelled("\nQualified name: ", "qualified_name", F.col("qualified_name_") != F.col("name_")),
+        labelled("\nSignature:\n", "signature"),
+        labelled("\nDocumentation:\n", "documentation"),
+        labelled("\nFile context:\n", "file_context"),
+        labelled("\nBody snippet:\n", "body"),
     )
-    base = document_title(trim_space(base_name(path)))
-    title = F.when(
-        qualified != "", document_title(trim_space(F.concat(base, F.lit(" "), qualified)))
-    ).otherwise(base)
+    base = F.when(F.col("base_") == "", F.lit("none")).otherwise(F.col("base_"))
+    title = F.replace(
+        F.when(F.col("qualified_name_") != "", F.concat_ws(" ", base, "qualified_name_")).otherwise(base), F.lit("|"), F.lit("/"))
     title = F.when(title.isin(".", "/"), F.lit("symbol")).otherwise(title)
-    return title, body
-
-
-def format_document(profile: Column, path: Column, symbol: dict[str, Column] | None = None) -> Column:
-    """Document text by profile: gemma, or the plain titled form."""
-    title, body = document_parts(path, symbol)
-    text = normalize_embedding_text(body)
-    plain = F.when(text == "", F.concat(F.lit("Title: "), title)).otherwise(
-        F.concat(F.lit("Title: "), title, F.lit("\n"), text)
-    )
-    gemma = F.concat(F.lit("title: "), title, F.lit(" | text: "), text)
-    return F.when(profile == "gemma", gemma).otherwise(plain)
+    gemma = F.col("profile_") == "gemma"
+    document = F.concat(
+        F.when(gemma, F.lit("title: ")).otherwise(F.lit("Title: ")), title,
+        F.when(gemma, F.lit(" | text: ")).otherwise(F.lit("\n")), body)
+    return clean.select(*symbols.columns, document.alias("document"))
 
 
 def format_query(profile: Column, text: Column) -> Column:

@@ -13,10 +13,13 @@ def hit_ref(path: Column, line: Column) -> Column:
     return F.concat(trim_space(path), F.lit(":"), line.cast("string"))
 
 
+def two_digits(value: Column) -> Column:
+    # Rounds the exact binary value, half to even, and adds no grouping.
+    return F.call_function("format_number", value, F.lit("0.00"))
+
+
 def format_duration_ms(ms: Column) -> Column:
-    return F.when(ms >= 1000, F.concat(F.format_string("%.2f", ms / 1000), F.lit("s"))).otherwise(
-        F.concat(F.format_string("%.2f", ms), F.lit("ms"))
-    )
+    return F.when(ms >= 1000, F.concat(two_digits(ms / 1000), F.lit("s"))).otherwise(F.concat(two_digits(ms), F.lit("ms")))
 
 
 def format_mode_counts(counts: Column) -> Column:

@@ -58,25 +58,22 @@ def _synonyms(token: Column) -> Column:
     return F.coalesce(F.try_element_at(table, token), F.array().cast("array<string>"))
 
 
-def token_variants(token: Column) -> Column:
-    """``array<struct<variant, weight>>`` of a token; the first weight wins."""
+def token_variants(token: Column, singular: Column, plural: Column) -> Column:
+    """``array<struct<variant, weight>>`` of a token; the first weight wins.
+
+    The forms come in as columns, so that each is worked out once per token.
+    """
     def weighted(value: Column, weight: float) -> Column:
         return F.struct(value.alias("variant"), F.lit(weight).alias("weight"))
 
-    made = F.concat(
-        F.array(
-            weighted(token, fixed.EXACT_WEIGHT),
-            weighted(singularize(token), fixed.SINGULAR_WEIGHT),
-            weighted(pluralize(token), fixed.PLURAL_WEIGHT),
-        ),
-        F.transform(_synonyms(token), lambda word: weighted(word, fixed.SYNONYM_WEIGHT)),
-    )
-    first = F.filter(
-        made,
-        lambda item, at: (item["variant"] != "")
-        & (F.array_position(F.transform(made, lambda other: other["variant"]), item["variant"]) == at + 1),
-    )
-    return first
+    forms = F.array_compact(F.array(
+        weighted(token, fixed.EXACT_WEIGHT),
+        F.when(singular != token, weighted(singular, fixed.SINGULAR_WEIGHT)),
+        F.when((plural != token) & (plural != singular), weighted(plural, fixed.PLURAL_WEIGHT)),
+    ))
+    words = F.array_except(_synonyms(token), F.array(token, singular, plural))
+    related = F.transform(words, lambda word: weighted(word, fixed.SYNONYM_WEIGHT))
+    return F.when(token.isin(list(fixed.SYNONYMS)), F.concat(forms, related)).otherwise(forms)
 
 
 def join_parts(*parts: Column) -> Column:
