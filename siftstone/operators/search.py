@@ -146,7 +146,7 @@ def auto_search(queries: DataFrame, symbols: DataFrame, embeddings: DataFrame,
 
 
 def display_metric(metric: Column, distance: Column) -> Column:
-    return F.when(metric == "lexical", "lexical").otherwise(F.format_string("%.4f", distance))
+    return F.when(metric == "lexical", "lexical").otherwise(F.call_function("format_number", distance, F.lit("0.0000")))
 
 
 def project_hits(hits: DataFrame, symbols: DataFrame, root: str = "/", details: bool = False) -> DataFrame:

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extraction_queries, text_queries
+from . import evaluation_queries, extraction_queries, index_queries, retrieval_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 ENTRIES: dict[str, tuple[Query, str | None]] = {
     **text_queries.QUERIES,
     **extraction_queries.QUERIES,
+    **retrieval_queries.QUERIES,
+    **evaluation_queries.QUERIES,
+    **index_queries.QUERIES,
 }
 
 

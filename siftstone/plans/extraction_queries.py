@@ -42,9 +42,7 @@ def list_hashed_files(spark, sf):
 
 
 def file_sha256(spark, sf):
-    path = f"{sf}/*.parquet"
-    name = F.regexp_extract("path", r"([^/]+)\z", 1)
-    return S.file_digests(spark, path).select(name.alias("file"), "revision")
+    return view(spark, sf, "raw_files_v").select("path", S.revision(F.col("content")).alias("revision"))
 
 
 def load_path_weights(spark, sf):
@@ -176,7 +174,7 @@ QUERIES = {
  UNION ALL SELECT path, md5(content) FROM raw_files_v WHERE starts_with(path, 'blob/')
  AND len(list_filter(regexp_extract_all(hex(content), '..'), lambda b: b = '00')) = 0
  AND len(list_filter(regexp_extract_all(hex(content), '..'), lambda b: b < '20' AND b NOT IN ('0A', '0D', '09', '0C'))) * 100 // 16 <= 10""", "raw_files_v")),
-    "file_sha256": (file_sha256, None),
+    "file_sha256": (file_sha256, with_views("SELECT path, concat('sha256:', sha256(content)) AS revision FROM raw_files_v", "raw_files_v")),
     "load_path_weights": (load_path_weights, """SELECT concat('**/', replace(p_name, ' ', '_'), p_partkey, '/**') AS pattern, (p_size * 25 / 1000.0)::DOUBLE AS weight,
  p_size BETWEEN 1 AND 40 AS valid FROM part"""),
     "parse_hit_log": (parse_hit_log, """SELECT event_id AS run, (event_id % 12 + 1)::INT AS rank, concat('dir ', event_id % 5, '/f:', user_id, '.txt') AS path, (event_id % 7 + 1)::INT AS line, TRUE AS ok

@@ -165,10 +165,22 @@ _DOC_BODY = """concat('Path: ', path, chr(10), 'Kind: ', kind, CASE WHEN c_name
  CASE WHEN c_qual <> '' AND c_qual <> c_name THEN concat(chr(10), 'Qualified name: ', c_qual) ELSE '' END,
  CASE WHEN c_sig <> '' THEN concat(chr(10), 'Signature:', chr(10), c_sig) ELSE '' END, CASE WHEN c_doc <> '' THEN concat(chr(10), 'Documentation:', chr(10), c_doc) ELSE '' END,
  chr(10), 'File context:', chr(10), file_context, CASE WHEN c_body <> '' THEN concat(chr(10), 'Body snippet:', chr(10), c_body) ELSE '' END)"""
-_DOCUMENTS = f"""cleaned AS (SELECT *, {_clean('name')} AS c_name, {_clean('qualified_name')} AS c_qual, {_clean('signature')} AS c_sig,
- {_clean('documentation')} AS c_doc, {_clean('body')} AS c_body, CASE kind WHEN 'function' THEN 'gemma' WHEN 'type' THEN 'qwen' ELSE 'generic' END AS profile FROM symbols_v),
+_BY_KIND = "CASE kind WHEN 'function' THEN 'gemma' WHEN 'type' THEN 'qwen' ELSE 'generic' END"
+_REVISION = "CASE profile WHEN 'gemma' THEN 'embeddinggemma-v4' WHEN 'qwen' THEN 'qwen3-embedding-v1' ELSE 'generic-v1' END"
+
+
+def document_ctes(profile: str = _BY_KIND) -> str:
+    """CTEs up to ``docs(doc_id, profile, document)`` over the symbol view."""
+    return f"""cleaned AS (SELECT *, {_clean('name')} AS c_name, {_clean('qualified_name')} AS c_qual, {_clean('signature')} AS c_sig,
+ {_clean('documentation')} AS c_doc, {_clean('body')} AS c_body, {profile} AS profile FROM symbols_v),
 docs AS (SELECT doc_id, profile, CASE WHEN profile = 'gemma' THEN concat('title: ', replace(concat({Q.base_name('path')}, ' ', c_qual), '|', '/'), ' | text: ', {_DOC_BODY})
  ELSE concat('Title: ', replace(concat({Q.base_name('path')}, ' ', c_qual), '|', '/'), chr(10), {_DOC_BODY}) END AS document FROM cleaned)"""
+
+
+def document_hash() -> str:
+    return f"md5({Q.trim_space(f'concat({Q.quote(X.fixed.DOCUMENT_HASH_HEADER)}, {_REVISION}, chr(10), document)')})"
+
+
 _REL = """CASE WHEN NOT starts_with(path, '/') THEN regexp_replace(regexp_replace(path, '^[.]/', ''), '/$', '')
  WHEN starts_with(path, '/data/repo/') THEN regexp_extract(path, '([0-9]+)//', 1) || '/f.go' ELSE path END"""
 _ROUTE = rf"""len({Q.query_tokens('text')}) > 0 AND ((NOT regexp_matches(trim(text), '\s') AND (regexp_matches(text, '[\p{{Nd}}/._:()\[\]{{}}-]')
@@ -186,7 +198,6 @@ _L = r"regexp_replace(lower(trim(model)), '[-_ ]', '', 'g')"
 _PROFILE = f"""CASE WHEN {_L} IN ('default', 'embeddinggemma', 'gemma', 'embeddinggemma300m') THEN 'gemma' WHEN {_L} IN ('qwen3', 'qwen3embedding', 'qwen') THEN 'qwen'
  WHEN contains(lower(model), 'embeddinggemma') THEN 'gemma' WHEN contains(lower(model), 'qwen3') AND contains(lower(model), 'embed') THEN 'qwen'
  WHEN contains(lower(model), 'gemma') THEN 'gemma' ELSE 'generic' END"""
-_REVISION = "CASE profile WHEN 'gemma' THEN 'embeddinggemma-v4' WHEN 'qwen' THEN 'qwen3-embedding-v1' ELSE 'generic-v1' END"
 _FLAT = r"trim(regexp_replace(text, '[\s\x0B\p{Z}]+', ' ', 'g'))"
 _LIT = "replace(literal, chr(13) || chr(10), chr(10))"
 _UNQUOTED = """CASE WHEN turn % 5 = 0 OR turn % 5 = 1 THEN literal[4:-4] WHEN turn % 5 IN (2, 3) THEN literal[2:-2] ELSE literal END"""
@@ -211,9 +222,9 @@ SELECT token, variant, weight FROM ({Q.variants('toks')}) WHERE variant <> ''"""
  UNION ALL SELECT concat('e', event_id), md5(concat(event_type, chr(10), user_id)) FROM events""", "symbols_v")),
     "normalize_embedding_text": (normalize_embedding_text,
         f"SELECT conv_id, turn, replace({Q.trim_space('text')}, '. ', '.' || chr(10)) AS text FROM conversations"),
-    "build_documents": (build_documents, with_views(f"WITH {_DOCUMENTS} SELECT doc_id, profile, left(document, 40) AS head, md5(document) AS digest FROM docs", "symbols_v")),
+    "build_documents": (build_documents, with_views(f"WITH {document_ctes()} SELECT doc_id, profile, left(document, 40) AS head, md5(document) AS digest FROM docs", "symbols_v")),
     "embedding_hash": (embedding_hash, with_views(
-        f"WITH {_DOCUMENTS} SELECT doc_id, md5({Q.trim_space(f'concat({Q.quote('embedding_doc_format:')}, {_REVISION}, chr(10), document)')}) AS embedding_hash FROM docs", "symbols_v")),
+        f"WITH {document_ctes()} SELECT doc_id, {document_hash()} AS embedding_hash FROM docs", "symbols_v")),
     "format_queries": (format_queries, with_views(f"""SELECT query_id, CASE mode WHEN 'auto' THEN concat('task: code retrieval | query: ', {_clean('text')})
  WHEN 'semantic' THEN concat('Instruct: Given a code search query, retrieve relevant code symbols and documentation that answer the query.', chr(10), 'Query: ', {_clean('text')})
  ELSE {_clean('text')} END AS formatted FROM query_texts_v""", "query_texts_v")),
