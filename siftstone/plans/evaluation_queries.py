@@ -112,7 +112,7 @@ QUERIES = {
     "mode_counts": (mode_counts, with_views(f"""SELECT repo, {_MODES} AS modes FROM (SELECT repo, {_MODE} AS m, count(*) AS n FROM suite_queries_v GROUP BY ALL
  UNION ALL SELECT '', {_MODE}, count(*) FROM suite_queries_v GROUP BY ALL) GROUP BY repo""", "suite_queries_v")),
     "latest_index_run": (latest_index_run, with_views("""SELECT repo, run_kind, event_id AS run_no, indexed_symbols, indexed_files FROM (SELECT *, row_number() OVER (PARTITION BY repo
- ORDER BY (indexed_symbols > 0 OR indexed_files > 0) DESC, (run_kind = 'warm_index') DESC, event_id DESC) AS at FROM runs_v WHERE run_kind IN ('cold_index', 'warm_index')) WHERE at = 1""", "runs_v")),
+ ORDER BY (indexed_symbols > 0 OR indexed_files > 0) DESC, (run_kind = 'warm_index') DESC, event_id DESC) AS place FROM runs_v WHERE run_kind IN ('cold_index', 'warm_index')) WHERE place = 1""", "runs_v")),
     "first_top_hit": (first_top_hit, with_views("""SELECT q.query_id, h.path, h.line FROM (SELECT query_id, min(run) + max(line) % 2 AS first_run FROM hits_v GROUP BY query_id) q
  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY query_id, run ORDER BY rank, path, line) AS at FROM hits_v) h ON h.query_id = q.query_id AND h.run = q.first_run AND h.at = 1""", "hits_v")),
     "ranking_misses": (ranking_misses, with_views(f"""WITH {_SCORED}, tops AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, path, line) AS at FROM hits_v WHERE run = 0),

@@ -135,7 +135,7 @@ QUERIES = {
     "project_hits": (project_hits, with_views("""SELECT container AS query_id, line AS rank, path, line, CASE WHEN kind = 'type' THEN 'lexical' ELSE printf('%.4f', doc_id::DOUBLE / 8192) END AS metric, kind, name, qualified_name,
  CASE WHEN kind = 'type' THEN 0 ELSE round(doc_id::DOUBLE / 8192, 9) END AS distance, documentation, md5(body) AS body FROM symbols_v""", "symbols_v")),
     "search_envelopes": (search_envelopes, with_views(f"""WITH {_AUTO} SELECT q.query_id, {Q.trim_space('any_value(q.text)')} AS query, any_value(q.mode) AS mode, 'local' AS provider, 'hash64' AS model_id,
- count(a.path)::INT AS result_count, coalesce(string_agg(concat(a.rank, '. ', a.path, ':', a.line), chr(10) ORDER BY a.rank), '') AS hits
+ count(a.path)::INT AS result_count, coalesce(string_agg(concat(a.rank, '. ', a.path, ':', a.line), chr(10) ORDER BY a.rank) FILTER (a.path IS NOT NULL), '') AS hits
  FROM near_queries_v q LEFT JOIN auto a ON q.query_id = a.query_id GROUP BY q.query_id""", *_NEAR_VIEWS)),
     "embed_documents": (embed_documents, with_views(f"""WITH {document_ctes("'generic'")}
  SELECT {document_hash()} AS embedding_hash, 64::INT AS dim, 64::INT AS components FROM docs""", "symbols_v")),
