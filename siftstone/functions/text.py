@@ -13,8 +13,12 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B
 
 
 def trim_space(text: Column) -> Column:
-    """Strip white space at both ends (``trim`` alone strips blanks only)."""
-    return F.btrim(text, F.lit(SPACES))
+    """Strip white space at both ends (``trim`` alone strips blanks only).
+
+    Most texts have none there, and looking at two characters is cheap.
+    """
+    edges = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    return F.when(edges.rlike(SPACE), F.btrim(text, F.lit(SPACES))).otherwise(text)
 
 
 def normalize_text(text: Column) -> Column:
@@ -82,7 +86,7 @@ def token_variants(token: Column, singular: Column, plural: Column) -> Column:
 
 def join_parts(*parts: Column) -> Column:
     """The non-empty trimmed parts, one per line."""
-    return F.array_join(F.filter(F.array(*[trim_space(part) for part in parts]), lambda part: part != ""), "\n")
+    return F.concat_ws("\n", *[F.nullif(trim_space(part), F.lit("")) for part in parts])
 
 
 def result_text(row: dict[str, Column] | None = None) -> Column:
@@ -121,29 +125,34 @@ def normalize_comment_line(line: Column) -> Column:
 
     One ``*/`` goes, and one more for each marker that went.
     """
-    once = trim_space(F.regexp_replace(trim_space(line), r"\*/\z", ""))
-    opened = F.regexp_replace(once, rf"^(?:(?:{MARKERS})\s*)+", "")
-    return (
+    bare = trim_space(line)
+    opened = lambda text: F.regexp_replace(text, rf"^(?:(?:{MARKERS})\s*)+", "")
+    once = trim_space(F.regexp_replace(bare, r"\*/\z", ""))
+    closed = (
         F.when(~once.rlike(rf"^(?:{MARKERS})"), once)
-        .when(~once.rlike(rf"^(?:{MARKERS})\s*(?:{MARKERS})"), trim_space(F.regexp_replace(opened, r"\*/\z", "")))
-        .otherwise(trim_space(F.regexp_replace(opened, r"(?:\*/\s*)+\z", "")))
+        .when(~once.rlike(rf"^(?:{MARKERS})\s*(?:{MARKERS})"), trim_space(F.regexp_replace(opened(once), r"\*/\z", "")))
+        .otherwise(trim_space(F.regexp_replace(opened(once), r"(?:\*/\s*)+\z", "")))
     )
+    return F.when(bare.endswith("*/"), closed).otherwise(trim_space(opened(bare)))
+
+
+def directive_start(candidate: Column, prefixes: list[str]) -> Column:
+    """``struct<which, length>`` of the first prefix a normalised line starts
+    with, its form without the colon included; null for none."""
+    out = F
+    for which, prefix in enumerate(prefixes):
+        for start in dict.fromkeys([prefix, prefix.strip().removesuffix(":")]):
+            if start:
+                out = out.when(candidate.startswith(start), F.struct(
+                    F.lit(which).alias("which"), F.lit(len(start)).alias("length")))
+    return out
 
 
-def directive_payload(line: Column, prefix: str) -> Column:
-    """Payload of a directive line, '' when it has none, null for no match."""
-    candidate = normalize_comment_line(line)
-    bare = prefix.strip().removesuffix(":")
-
-    def payload(start: str) -> Column:
-        rest = trim_space(F.substring(candidate, len(start) + 1, 2147483647))
-        rest = trim_space(F.regexp_replace(rest, "^:", ""))
-        return trim_space(F.regexp_replace(rest, r"\*/\z", ""))
-
-    out = F.when((candidate != "") & candidate.startswith(prefix), payload(prefix))
-    if bare and bare != prefix:
-        out = out.when((candidate != "") & candidate.startswith(bare), payload(bare))
-    return out
+def directive_payload(rest: Column) -> Column:
+    """What follows the prefix: no colon in front, no ``*/`` behind."""
+    bare = trim_space(rest)
+    bare = F.when(bare.startswith(":"), trim_space(F.substring(bare, 2, 2147483647))).otherwise(bare)
+    return F.when(bare.endswith("*/"), trim_space(F.left(bare, F.char_length(bare) - 2))).otherwise(bare)
 
 
 COMMENT_PREFIXES = ["///", "/*!", "/**", "//!", "//", "#", "/*", "*/", "*"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as X
-from ..functions.paths import base_name, path_weight
+from ..functions.paths import path_weight
 from ..session import materialize
 from . import lexical
 from .vector import vector_knn
@@ -67,9 +67,7 @@ def _rank_semantic(found: DataFrame, queries: DataFrame, symbols: DataFrame, lim
         .groupBy("query_id").agg(F.max(F.struct("sort_distance", "distance")).alias("last"))
     )
     close = found.join(last, "query_id").filter(F.struct("sort_distance", "distance") <= F.col("last"))
-    texts = symbols.select(
-        "path", "symbol_id", X.normalize_text(X.result_text()).alias("text_norm"),
-        X.normalize_text(F.col("path")).alias("path_norm"), X.normalize_text(base_name(F.col("path"))).alias("base_norm"))
+    texts = lexical.normalized_texts(symbols, *lexical.KEY)
     keep = ["query_id", *lexical.ORDER, "distance", "sort_distance", "path_weight"]
     pairs = close.join(queries.select("query_id", "text"), "query_id").join(texts, lexical.KEY)
     scored = lexical.score_pairs(pairs, keep).withColumn(

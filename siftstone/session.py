@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Text stages do much work on few bytes: coalesce to busy cores, not to size.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # Explode-heavy text stages keep their row batches small in Python workers.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
 }
