@@ -13,12 +13,15 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B
 
 
 def trim_space(text: Column) -> Column:
-    """Strip white space at both ends (``trim`` alone strips blanks only).
+    """Strip white space at both ends (``trim`` alone strips blanks only)."""
+    return F.btrim(text, F.lit(SPACES))
 
-    Most texts have none there, and looking at two characters is cheap.
-    """
-    edges = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
-    return F.when(edges.rlike(SPACE), F.btrim(text, F.lit(SPACES))).otherwise(text)
+
+def trim_field(name: str) -> Column:
+    """:func:`trim_space` of a plain column that may be long: most texts have
+    no white space at their ends, and looking at two characters is cheap."""
+    edges = F.concat(F.left(name, F.lit(1)), F.right(name, F.lit(1)))
+    return F.when(edges.rlike(SPACE), trim_space(F.col(name))).otherwise(F.col(name))
 
 
 def normalize_text(text: Column) -> Column:
@@ -84,19 +87,25 @@ def token_variants(token: Column, singular: Column, plural: Column) -> Column:
     return F.when(token.isin(list(fixed.SYNONYMS)), F.concat(forms, related)).otherwise(forms)
 
 
+def _joined(parts: list[Column]) -> Column:
+    return F.concat_ws("\n", *[F.nullif(part, F.lit("")) for part in parts])
+
+
 def join_parts(*parts: Column) -> Column:
     """The non-empty trimmed parts, one per line."""
-    return F.concat_ws("\n", *[F.nullif(trim_space(part), F.lit("")) for part in parts])
+    return _joined([trim_space(part) for part in parts])
 
 
-def result_text(row: dict[str, Column] | None = None) -> Column:
-    names = ["kind", "name", "container", "qualified_name", "signature", "documentation", "body"]
-    return join_parts(*[(row or {}).get(name, F.col(name)) for name in names])
+def result_text() -> Column:
+    """Flat text of a search result."""
+    return _joined([trim_field(name) for name in (
+        "kind", "name", "container", "qualified_name", "signature", "documentation", "body")])
 
 
 def symbol_search_text() -> Column:
-    names = ["kind", "name", "container", "qualified_name", "signature", "documentation", "file_context", "body"]
-    return join_parts(*[F.col(name) for name in names])
+    """Flat text of an extracted symbol."""
+    return _joined([trim_field(name) for name in (
+        "kind", "name", "container", "qualified_name", "signature", "documentation", "file_context", "body")])
 
 
 def unix_lines(text: Column) -> Column:
@@ -120,20 +129,7 @@ def compact(text: Column, max_chars: int) -> Column:
 MARKERS = r"//|/\*|\*|#|--|;"
 
 
-def normalize_comment_line(line: Column) -> Column:
-    """A line without its leading comment markers and trailing ``*/``.
-
-    One ``*/`` goes, and one more for each marker that went.
-    """
-    bare = trim_space(line)
-    opened = lambda text: F.regexp_replace(text, rf"^(?:(?:{MARKERS})\s*)+", "")
-    once = trim_space(F.regexp_replace(bare, r"\*/\z", ""))
-    closed = (
-        F.when(~once.rlike(rf"^(?:{MARKERS})"), once)
-        .when(~once.rlike(rf"^(?:{MARKERS})\s*(?:{MARKERS})"), trim_space(F.regexp_replace(opened(once), r"\*/\z", "")))
-        .otherwise(trim_space(F.regexp_replace(opened(once), r"(?:\*/\s*)+\z", "")))
-    )
-    return F.when(bare.endswith("*/"), closed).otherwise(trim_space(opened(bare)))
+LEADING_MARKERS, TWO_MARKERS = rf"^(?:(?:{MARKERS})\s*)+", rf"^(?:{MARKERS})\s*(?:{MARKERS})"
 
 
 def directive_start(candidate: Column, prefixes: list[str]) -> Column:
@@ -148,13 +144,6 @@ def directive_start(candidate: Column, prefixes: list[str]) -> Column:
     return out
 
 
-def directive_payload(rest: Column) -> Column:
-    """What follows the prefix: no colon in front, no ``*/`` behind."""
-    bare = trim_space(rest)
-    bare = F.when(bare.startswith(":"), trim_space(F.substring(bare, 2, 2147483647))).otherwise(bare)
-    return F.when(bare.endswith("*/"), trim_space(F.left(bare, F.char_length(bare) - 2))).otherwise(bare)
-
-
 COMMENT_PREFIXES = ["///", "/*!", "/**", "//!", "//", "#", "/*", "*/", "*"]
 
 

@@ -71,7 +71,7 @@ def _marked_lines(spark, sf):
 
 
 def normalize_comment_lines(spark, sf):
-    return _marked_lines(spark, sf).select("path", "line", F.md5(X.normalize_comment_line(F.col("text"))).alias("digest"))
+    return L.normalize_comments(_marked_lines(spark, sf)).select("path", "line", F.md5("text").alias("digest"))
 
 
 def match_directives(spark, sf):
