@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as X
 from ..functions.paths import path_weight
+from ..schemas import SYMBOL_TEXT
 from ..session import materialize
 from . import lexical
 from .vector import vector_knn
@@ -67,10 +68,13 @@ def _rank_semantic(found: DataFrame, queries: DataFrame, symbols: DataFrame, lim
         .groupBy("query_id").agg(F.max(F.struct("sort_distance", "distance")).alias("last"))
     )
     close = found.join(last, "query_id").filter(F.struct("sort_distance", "distance") <= F.col("last"))
-    texts = lexical.normalized_texts(symbols, *lexical.KEY)
     keep = ["query_id", *lexical.ORDER, "distance", "sort_distance", "path_weight"]
-    pairs = close.join(queries.select("query_id", "text"), "query_id").join(texts, lexical.KEY)
-    scored = lexical.score_pairs(pairs, keep).withColumn(
+    # Few rows per query are left, so the symbols are scanned against them and
+    # only the texts that meet one are normalised.
+    close = materialize(close.select(*keep), "close-candidates")
+    texts = symbols.select(*lexical.KEY, *[name for name in SYMBOL_TEXT if name != "qualified_name"])
+    pairs = texts.join(close, lexical.KEY).join(queries.select("query_id", "text"), "query_id")
+    scored = lexical.score_pairs(lexical.normalized_texts(pairs, *keep, "text"), keep).withColumn(
         "lexical_score", F.round(F.col("lexical_score") * F.col("path_weight"), 9))
     order = Window.partitionBy("query_id").orderBy(
         "sort_distance", "distance", F.desc("lexical_score"), *lexical.ORDER)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -49,9 +50,12 @@ def scratch_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
-    path = tempfile.mkdtemp(prefix="siftstone-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return _local_scratch()
+
+
+@functools.cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="siftstone-")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
