@@ -75,8 +75,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` by key when its scan would leave cores idle.
 
     A small file can be one task however long its texts are; a large table
-    has far more splits than cores and stays as it is.
+    has far more splits than cores and stays as it is. So does a plan that
+    shuffles already: asking it for its partitions would run the shuffle.
     """
-    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
+    plan = df._jdf.queryExecution().executedPlan().nodeName()
+    if not plan.startswith("Adaptive") and df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
         return df.repartition(*keys)
     return df

@@ -1 +1 @@
-"""Incremental indexing of arriving file versions."""
+"""No streams: re-indexing is a batch diff, see ``siftstone.plans.workflows``."""

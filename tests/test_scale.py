@@ -8,7 +8,7 @@ from siftstone import schemas
 from siftstone.functions import text as X
 from siftstone.operators import embed, index, lexical, search
 from siftstone.operators.vector import vector_knn
-from siftstone.plans import workflows
+from siftstone.plans import catalog, workflows
 from siftstone.plans.views import view
 from siftstone.sources.tables import IndexStore
 
@@ -28,6 +28,22 @@ def test_postings_equal_brute_force(spark):
     assert fast == slow and len(fast) > 300
 
 
+def test_search_without_broadcast(spark):
+    """The same hits when no side is small enough to broadcast."""
+    run = lambda: sorted(map(tuple, catalog.queries()["auto_search"](spark, SF).collect()), key=str)
+    usual = run()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    adaptive = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert run() == usual and usual
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        if adaptive is None:
+            spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("limit", [0, 10_000_000])
 def test_knn_with_copies(spark, limit, monkeypatch):
     """A third of the vectors are copies of one; both plans find the same."""
