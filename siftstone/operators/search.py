@@ -50,7 +50,7 @@ def candidates(nearest: DataFrame, symbols: DataFrame, weights: Mapping[str, flo
     """
     found = symbols.select("path", "symbol_id", "line", "qualified_name", "embedding_hash").join(nearest, "embedding_hash")
     return found.withColumn("path_weight", path_weight(F.col("path"), weights)).withColumn(
-        "sort_distance", F.round(sort_distance(F.col("distance"), F.col("path_weight")), 9))
+        "sort_distance", F.round(sort_distance(F.col("distance"), F.col("path_weight")), 12))
 
 
 def _rank_semantic(found: DataFrame, queries: DataFrame, symbols: DataFrame, limit: int) -> DataFrame:

@@ -33,7 +33,7 @@ def quality_rollup(spark, sf):
 
 def timing_means(spark, sf):
     means = V.timing_means(view(spark, sf, "runs_v"))
-    return means.withColumns({name: F.round(name, 6) for name in means.columns if name.endswith("_ms")})
+    return means.withColumns({name: F.round(name, 9) for name in means.columns if name.endswith("_ms")})
 
 
 def _flat_modes(df, *keys, column="modes"):
@@ -70,7 +70,7 @@ def miss_report(spark, sf):
 
 def slowest_queries(spark, sf):
     return V.slowest_queries(V.query_search_means(view(spark, sf, "runs_v")).withColumn(
-        "warm_search_mean_ms", F.round("warm_search_mean_ms", 6)))
+        "warm_search_mean_ms", F.round("warm_search_mean_ms", 9)))
 
 
 def matrix_summary(spark, sf):
@@ -107,8 +107,8 @@ QUERIES = {
     "quality_rollup": (quality_rollup, with_views(f"""WITH {_SCORED} SELECT repo, FALSE AS is_total, count(*) AS query_count, {_QUALITY} FROM scored GROUP BY repo
  UNION ALL SELECT '', TRUE, count(*), {_QUALITY} FROM scored""", *_LABELLED)),
     "timing_means": (timing_means, with_views("""SELECT CASE WHEN grouping(repo) = 1 THEN '' ELSE repo END AS repo, grouping(repo) = 1 AS is_total,
- round(coalesce(avg(CASE WHEN run_kind = 'cold_index' THEN duration_ms END), 0), 6) AS cold_index_mean_ms, round(coalesce(avg(CASE WHEN run_kind = 'warm_index' THEN duration_ms END), 0), 6) AS warm_index_mean_ms,
- round(coalesce(avg(CASE WHEN run_kind = 'warm_search' THEN duration_ms END), 0), 6) AS warm_search_mean_ms FROM runs_v GROUP BY GROUPING SETS ((repo), ())""", "runs_v")),
+ round(coalesce(avg(CASE WHEN run_kind = 'cold_index' THEN duration_ms END), 0), 9) AS cold_index_mean_ms, round(coalesce(avg(CASE WHEN run_kind = 'warm_index' THEN duration_ms END), 0), 9) AS warm_index_mean_ms,
+ round(coalesce(avg(CASE WHEN run_kind = 'warm_search' THEN duration_ms END), 0), 9) AS warm_search_mean_ms FROM runs_v GROUP BY GROUPING SETS ((repo), ())""", "runs_v")),
     "mode_counts": (mode_counts, with_views(f"""SELECT repo, {_MODES} AS modes FROM (SELECT repo, {_MODE} AS m, count(*) AS n FROM suite_queries_v GROUP BY ALL
  UNION ALL SELECT '', {_MODE}, count(*) FROM suite_queries_v GROUP BY ALL) GROUP BY repo""", "suite_queries_v")),
     "latest_index_run": (latest_index_run, with_views("""SELECT repo, run_kind, event_id AS run_no, indexed_symbols, indexed_files FROM (SELECT *, row_number() OVER (PARTITION BY repo
@@ -121,7 +121,7 @@ QUERIES = {
  CASE WHEN top3_success THEN 'yes' ELSE 'no' END AS top3 FROM scored s JOIN wanted w ON s.query_id = w.query_id LEFT JOIN tops t ON t.query_id = s.query_id AND t.at = 1 WHERE NOT top1_success""", *_LABELLED)),
     "miss_report": (miss_report, with_views(f"""WITH {_SCORED} SELECT repo, query_id, observed_rank, greatest((SELECT count(*) FROM scored WHERE NOT top1_success) - 10, 0) AS more_omitted
  FROM scored WHERE NOT top1_success ORDER BY repo, query_id LIMIT 10""", *_LABELLED)),
-    "slowest_queries": (slowest_queries, with_views("""SELECT repo, query_id, round(avg(duration_ms), 6) AS warm_search_mean_ms FROM runs_v WHERE run_kind = 'warm_search'
+    "slowest_queries": (slowest_queries, with_views("""SELECT repo, query_id, round(avg(duration_ms), 9) AS warm_search_mean_ms FROM runs_v WHERE run_kind = 'warm_search'
  GROUP BY repo, query_id ORDER BY 3 DESC, 1, 2 LIMIT 10""", "runs_v")),
     "matrix_summary": (matrix_summary, with_views(f"""SELECT concat(os, '/', arch) AS platform, CASE WHEN cpu_info = '' THEN 'unknown CPU' ELSE cpu_info END AS cpu, tool_version AS tool, repository_count AS repos, query_count AS queries,
  CASE WHEN n_auto = 0 AND n_lexical = 0 THEN 'none' ELSE trim(concat(CASE WHEN n_auto > 0 THEN concat('auto=', n_auto, ' ') ELSE '' END, CASE WHEN n_lexical > 0 THEN concat('lexical=', n_lexical) ELSE '' END)) END AS modes,

@@ -116,7 +116,7 @@ nearest AS (SELECT * FROM (SELECT q.query_id, e.embedding_hash, {distance('q.que
   row_number() OVER (PARTITION BY q.query_id ORDER BY {distance('q.query_vector', 'e.embedding')}, e.embedding_hash) AS candidate_rank
   FROM {queries} q, {embeddings} e WHERE e.embedding_hash IN (SELECT embedding_hash FROM {symbols})) WHERE candidate_rank <= {k}),
 found AS (SELECT n.query_id, n.distance, n.candidate_rank, x.path, x.symbol_id, x.line, x.qualified_name,
-  round(CASE WHEN 1 - n.distance <= 0 THEN n.distance ELSE 1 - (1 - n.distance) * x.path_weight END, 9) AS sort_distance,
+  round(CASE WHEN 1 - n.distance <= 0 THEN n.distance ELSE 1 - (1 - n.distance) * x.path_weight END, 12) AS sort_distance,
   coalesce(l.lexical_score, 0) AS lexical_score
   FROM nearest n JOIN {symbols} s ON n.embedding_hash = s.embedding_hash JOIN texts x ON s.path = x.path AND s.symbol_id = x.symbol_id
   LEFT JOIN lexical l ON l.query_id = n.query_id AND l.path = x.path AND l.symbol_id = x.symbol_id)"""

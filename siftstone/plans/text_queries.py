@@ -47,7 +47,7 @@ def path_weights(spark, sf):
 def semantic_sort_distance(spark, sf):
     rows = view(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 40).alias("d"),
                                               (F.col("l_discount") * 11).alias("w"))
-    return rows.select("l_orderkey", "l_linenumber", F.round(sort_distance(F.col("d"), F.col("w")), 9).alias("sort_distance"))
+    return rows.select("l_orderkey", "l_linenumber", F.round(sort_distance(F.col("d"), F.col("w")), 12).alias("sort_distance"))
 
 
 def result_text(spark, sf):
@@ -213,7 +213,7 @@ SELECT token, variant, weight FROM ({Q.variants('toks')}) WHERE variant <> ''"""
     "path_weights": (path_weights, with_views(
         f"SELECT path, {Q.path_weight('path')} AS weight FROM (SELECT DISTINCT path FROM paths_v)", "paths_v")),
     "semantic_sort_distance": (semantic_sort_distance, """SELECT l_orderkey, l_linenumber, round(CASE WHEN 1 - d <= 0 THEN d
- ELSE 1 - (1 - d) * CASE WHEN w <= 0 OR w > 1 THEN 1 ELSE w END END, 9) AS sort_distance
+ ELSE 1 - (1 - d) * CASE WHEN w <= 0 OR w > 1 THEN 1 ELSE w END END, 12) AS sort_distance
  FROM (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE / 40 AS d, l_discount::DOUBLE * 11 AS w FROM lineitem)"""),
     "result_text": (result_text, with_views(f"SELECT doc_id, md5({Q.result_text()}) AS digest FROM symbols_v", "symbols_v")),
     "symbol_search_text": (symbol_search_text, with_views(
