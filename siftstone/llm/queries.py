@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a container's samples, and what its boxes say, with the payload read back."""
+    from .media import media_tracks, store_texts
+
+    files = store_texts(table(spark, sf_dir, "documents"))
+    tracks = media_tracks(files, keys=("doc_id", "text_bytes"), checks=True)
+    ranges = F.transform("keyframe_ranges", lambda r: F.concat_ws("+", r["start"], r["length"]))
+    feature = F.concat_ws(";", F.concat(F.lit("codec="), "codec"), F.concat(F.lit("duration="), F.col("duration").cast("string")),
+                          F.concat(F.lit("samples="), "n_samples"), F.concat(F.lit("keyframes="), "n_keyframes"),
+                          F.concat(F.lit("ranges="), F.md5(F.concat_ws(",", ranges))))
+    return tracks.select("doc_id", F.col("text_bytes").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes",
+                         "media_sha256", feature.alias("feature"), "codec", "duration", "n_samples", "n_keyframes")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document; more than 2,048 are over the limit."""
     from .token_counts import count_tokens
@@ -15,5 +29,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = {"op9_token_counts": op9_token_counts}
+QUERIES = {
+    "op1_media_columns": op1_media_columns,
+    "op9_token_counts": op9_token_counts,
+}
 ORACLE_SQL: dict[str, str] = {}
