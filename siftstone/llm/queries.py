@@ -22,6 +22,21 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "media_sha256", feature.alias("feature"), "codec", "duration", "n_samples", "n_keyframes")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token sequences of at most 4,096 ids."""
+    from .packing import packed_documents
+
+    return packed_documents(table(spark, sf_dir, "documents"), keep_ids=False)
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes, tokens and rows."""
+    from .sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document; more than 2,048 are over the limit."""
     from .token_counts import count_tokens
@@ -31,6 +46,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_sharding": op7_sharding,
     "op9_token_counts": op9_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}
