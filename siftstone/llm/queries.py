@@ -37,6 +37,15 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from four fifths of them."""
+    from .language_id import fit, held_out, predict_languages
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit(docs.filter(~held_out()))
+    return predict_languages(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document; more than 2,048 are over the limit."""
     from .token_counts import count_tokens
@@ -48,6 +57,7 @@ QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_sharding": op7_sharding,
+    "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}
