@@ -53,11 +53,19 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash and the near-duplicate component it is in."""
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_sharding": op7_sharding,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
