@@ -1,17 +1,20 @@
 """Token counts from counts of distinct pre-tokens.
 
-A pre-token is a run without blank, tab or line break: the tokenizer drops
-white space, so no piece crosses one. Pieces are counted once per distinct
-pre-token of the corpus and joined to the pre-token frequencies of the
-documents; ids are never built. To keep the join small it runs on distinct
-(block, pre-token) pairs, a block being some thousand documents whose
-frequencies wait as one packed row; a frequent pre-token is one row per block
-and side, which AQE splits.
+Pieces are counted once per distinct pre-token of the corpus and joined to the
+pre-token frequencies of the documents; ids are never built. The frequencies
+of a block, up to some ten thousand documents, wait as one packed row; only its
+distinct pre-tokens are shuffled. So the most frequent pre-token is one short
+row per block.
+
+Words between blanks, tabs and line breaks come first: the tokenizer drops
+white space, so a word's pre-tokens do not depend on its neighbours and the
+tokenizer splits each distinct word of a block once.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,61 +30,90 @@ from siftstone.session import materialize
 from .common import block_ids, blocks, to_batches, tokenizer_path, whole_text, word_tokenizer
 
 WORD = re.compile(r"[^ \t\n\r]+")
-PACKED = "block long, doc_ids array<long>, n_bytes array<long>, sizes binary, words_at binary, counts binary, words array<string>"
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per block: its distinct pre-tokens and each document's counts of them."""
-    squeeze = zstandard.ZstdCompressor(level=3).compress
-    ids = block_ids()
-    kinds = {"block": pa.int64(), "doc_ids": pa.list_(pa.int64()), "n_bytes": pa.list_(pa.int64()), "sizes": pa.binary(),
-             "words_at": pa.binary(), "counts": pa.binary(), "words": pa.list_(pa.string())}
-    for part in blocks(batches):
-        places: dict[str, int] = {}
-        sizes, at, counts = [], [], []
-        for text in part.column("text").to_pylist():
-            found = Counter(WORD.findall(text))
-            own = sorted((places.setdefault(word, len(places)), n) for word, n in found.items())
-            sizes.append(len(own))
-            at.extend(x for x, _ in own)
-            counts.extend(n for _, n in own)
-        row = {"block": [next(ids)], "doc_ids": [part.column("doc_id").to_pylist()],
-               "n_bytes": [pc.binary_length(part.column("text")).to_pylist()],
-               "sizes": [np.array(sizes, "<i4").tobytes()],
-               # Differences between ascending places are small and pack well.
-               "words_at": [squeeze(np.diff(np.array(at, "<i4"), prepend=np.int32(0)).astype("<i4").tobytes())],
-               "counts": [squeeze(np.array(counts, "<i4").tobytes())], "words": [list(places)]}
-        yield from to_batches(row, pa.schema(kinds.items()))
-
-
-def piece_counts(words: DataFrame, path: str) -> DataFrame:
-    """``word`` and its number of pieces, ``pieces``, for a table of distinct words."""
-
+BLOCK = {"rows": 32_768, "size": 32 << 20}
+PACKED = ("block long, doc_ids array<long>, n_bytes array<long>, sizes binary, words_at binary, counts binary, "
+          "splits binary, tokens_at binary, tokens array<string>")
+
+
+def _ints(values, packer=zstandard.ZstdCompressor(level=3).compress) -> bytes:
+    return packer(np.asarray(values, "<i4").tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i4").astype("<i8")
+
+
+def _pre_tokens(word: str, tokenizer, special: tuple[str, ...]) -> list[str]:
+    """The tokenizer's own pre-tokens of a word; one with a special string in it stays whole."""
+    if any(x in word for x in special):
+        return [word]
+    plain = tokenizer.normalizer.normalize_str(word) if tokenizer.normalizer else word
+    return [plain[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(plain)]
+
+
+def _frequencies(path: str):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per block: its distinct pre-tokens and each document's counts of them."""
+        tokenizer = word_tokenizer(path)
+        special = tuple(x.content for x in tokenizer.get_added_tokens_decoder().values())
+        ids = block_ids()
+        numbers = pa.list_(pa.int64())
+        schema = pa.schema([("block", pa.int64()), ("doc_ids", numbers), ("n_bytes", numbers), *((x, pa.binary()) for x in (
+            "sizes", "words_at", "counts", "splits", "tokens_at")), ("tokens", pa.list_(pa.string()))])
+        for part in blocks(batches, **BLOCK):
+            places: dict[str, int] = {}
+            sizes, at, counts = array("i"), array("i"), array("i")
+            for text in part.column("text"):
+                found = Counter(WORD.findall(text.as_py()))
+                own = sorted((places.setdefault(word, len(places)), n) for word, n in found.items())
+                sizes.append(len(own))
+                at.extend(x for x, _ in own)
+                counts.extend(n for _, n in own)
+            tokens: dict[str, int] = {}
+            splits, tokens_at = array("i"), array("i")
+            for word in places:
+                own = _pre_tokens(word, tokenizer, special)
+                splits.append(len(own))
+                tokens_at.extend(tokens.setdefault(x, len(tokens)) for x in own)
+            yield from to_batches({
+                "block": [next(ids)], "doc_ids": [part.column("doc_id").to_pylist()], "n_bytes": [pc.binary_length(part.column("text")).to_pylist()],
+                # Differences between ascending places are small and pack well.
+                "sizes": [_ints(sizes)], "words_at": [_ints(np.diff(np.array(at, "<i4"), prepend=np.int32(0)))], "counts": [_ints(counts)],
+                "splits": [_ints(splits)], "tokens_at": [_ints(tokens_at)], "tokens": [list(tokens)]}, schema)
+
+    return pack
+
+
+def _pieces(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The number of pieces for rows sorted by pre-token, each distinct one encoded once."""
         encode = word_tokenizer(path).encode_batch_fast
+        last, last_pieces = None, 0
         for batch in batches:
-            encoded = encode(batch.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x.ids) for x in encoded], pa.int32())], ["word", "pieces"])
+            coded = batch.column("token").dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            known = {last: last_pieces} if words and words[0] == last else {}
+            pieces = [*known.values(), *(len(x.ids) for x in encode(words[len(known) :], add_special_tokens=False))]
+            if words:
+                last, last_pieces = words[-1], pieces[-1]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("place"), pa.array(pieces, pa.int32()).take(coded.indices)], ["of_block", "place", "pieces"])
 
-    return words.select("word").mapInArrow(count, "word string, pieces int")
+    return count
 
 
 def _sums(packed: pa.Table, answers: pa.Table) -> pa.Table:
     """The documents of one block with the sum of count times pieces."""
-    spread = zstandard.ZstdDecompressor().decompress
     out: dict[str, list] = {"doc_id": [], "n_bytes": [], "n_tokens": []}
     pieces = np.zeros(answers.num_rows, "<i8")
     pieces[answers.column("place").to_numpy()] = answers.column("pieces").to_numpy()
     for row in packed.to_pylist():
-        sizes = np.frombuffer(row["sizes"], "<i4")
-        at = np.cumsum(np.frombuffer(spread(row["words_at"]), "<i4"), dtype="<i8")
-        counts = np.frombuffer(spread(row["counts"]), "<i4")
-        owners = np.repeat(np.arange(len(sizes)), sizes)
         # Sums below 2 ** 53 are exact in the float weights of bincount.
-        sums = np.bincount(owners, weights=counts * pieces[at], minlength=len(sizes)) if len(at) else np.zeros(len(sizes))
+        total = lambda sizes, values: np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=values, minlength=len(sizes)).astype("<i8")
+        of_word = total(_unpacked(row["splits"]), pieces[_unpacked(row["tokens_at"])])
+        sums = total(_unpacked(row["sizes"]), _unpacked(row["counts"]) * of_word[np.cumsum(_unpacked(row["words_at"]))])
         out["doc_id"] += row["doc_ids"]
         out["n_bytes"] += row["n_bytes"]
-        out["n_tokens"] += sums.astype("<i8").tolist()
+        out["n_tokens"] += sums.tolist()
     return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())]))
 
 
@@ -95,8 +127,8 @@ def count_tokens(docs: DataFrame, text: str | Column = "text", doc_id: str | Col
     """
     path = path or tokenizer_path("word_bpe_49k.json")
     rows = docs.select((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    packed = materialize(rows.mapInArrow(_frequencies, PACKED), "pretokens")
-    asked = packed.select("block", F.posexplode("words").alias("place", "word"))
-    pieces = piece_counts(asked.select("word").distinct(), path)
-    answers = asked.join(pieces, "word").select(F.col("block").alias("of_block"), "place", "pieces")
-    return packed.drop("words").groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")
+    packed = materialize(rows.mapInArrow(_frequencies(path), PACKED), "pretokens")
+    asked = packed.select("block", F.posexplode("tokens").alias("place", "token"))
+    sorted_tokens = asked.repartition("token").sortWithinPartitions("token")
+    answers = sorted_tokens.mapInArrow(_pieces(path), "of_block long, place int, pieces int")
+    return packed.drop("tokens").groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")
