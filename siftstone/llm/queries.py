@@ -29,6 +29,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how alike they are."""
+    from .fingerprints import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes, tokens and rows."""
     from .sharding import shard_documents
@@ -63,6 +70,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_document_fingerprints": op6_document_fingerprints,
     "op7_sharding": op7_sharding,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
