@@ -27,6 +27,8 @@ from .common import blocks, to_batches, tokenizer_path, whole_text, word_tokeniz
 WORD = re.compile(r"[^ \t\n\r]+")
 #: Words whose ids a Python worker remembers; the memory of a worker stays bounded.
 REMEMBERED = 400_000
+#: Marks at the end of a word of letters are a pre-token of their own; an apostrophe may not be.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 @dataclass(frozen=True)
@@ -116,18 +118,49 @@ def pack(pieces: DataFrame, keys: tuple[str, ...] = ("doc_id", "piece"), length:
 
 def _piece_ids(path: str):
     """Ids of whole texts as little-endian bytes, word by word with a bounded memory."""
-    encode = word_tokenizer(path).encode_batch_fast
+    tokenizer = word_tokenizer(path)
+    encode = tokenizer.encode_batch_fast
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    ends[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
     known: dict[str, bytes] = {}
 
+    def one_by_one(words: list[str]) -> None:
+        for word, found in zip(words, encode(words, add_special_tokens=False)):
+            known[word] = np.array(found.ids, "<u4").tobytes()
+
+    def letters_only(words: list[str]) -> None:
+        """Such a word is one pre-token, with one end-of-word piece, so many are encoded as one text."""
+        for at in range(0, len(words), 4096):
+            own = words[at : at + 4096]
+            ids = np.array(encode([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ends[ids]) + 1
+            if len(cuts) == len(own) and cuts[-1] == len(ids):
+                data, start = ids.tobytes(), 0
+                for word, stop in zip(own, (4 * cuts).tolist()):
+                    known[word] = data[start:stop]
+                    start = stop
+            else:  # a letter whose lower case is not one
+                one_by_one(own)
+
+    def learn(new: list[str]) -> None:
+        split = [(word, core, word[len(core) :]) for word in new if (core := word.rstrip(MARKS)) and core.isalpha()]
+        rest = [word for word in new if not ((core := word.rstrip(MARKS)) and core.isalpha())]
+        letters_only([core for core in dict.fromkeys(core for _, core, _ in split) if core not in known])
+        one_by_one([mark for mark in {mark for _, _, mark in split if mark} if mark not in known])
+        for word, core, mark in split:
+            if mark:
+                known[word] = known[core] + known[mark]
+        one_by_one(rest)
+
     def ids(texts: list[str]) -> list[bytes]:
+        nonlocal known
         words = [WORD.findall(text) for text in texts]
-        new = list({word for own in words for word in own if word not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list({word for own in words for word in own})
-        for word, found in zip(new, encode(new, add_special_tokens=False)):
-            known[word] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join([known[word] for word in own]) for own in words]
+        own = set().union(*words)
+        if len(known) > REMEMBERED:
+            known = {word: known[word] for word in own if word in known}
+        learn([word for word in own if word not in known])
+        get = known.__getitem__
+        return [b"".join(map(get, x)) for x in words]
 
     return ids
 
