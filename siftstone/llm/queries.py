@@ -22,6 +22,15 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "media_sha256", feature.alias("feature"), "codec", "duration", "n_samples", "n_keyframes")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document less its lines that an earlier one equals or nearly equals."""
+    from .line_dedup import dedup_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines"))
+    kept = dedup_lines(docs)
+    return kept.select("doc_id", "text", "n_lines", F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).alias("n_kept"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token sequences of at most 4,096 ids."""
     from .packing import packed_documents
@@ -69,6 +78,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
+    "op4_line_dedup": op4_line_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_sharding": op7_sharding,
@@ -76,4 +86,25 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+# Edit distance 1 leaves one half of the shorter line as it is, so equal halves are joined.
+LINES_SQL = """
+WITH rows AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+places AS (SELECT doc_id, pos - 1 AS pos, trim(parts[pos], ' ' || chr(9) || chr(13)) AS line
+           FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM rows)),
+firsts AS (SELECT line, min((doc_id, pos)) AS place, length(line) AS n FROM places WHERE line <> '' GROUP BY line),
+halves AS (SELECT line, place, n, b, CAST(floor(b / 2) AS int) AS m FROM (SELECT *, unnest([n, n - 1]) AS b FROM firsts WHERE n >= 32)),
+pairs AS (
+  SELECT x.line, y.line AS earlier FROM halves x JOIN halves y ON x.b = y.b AND left(x.line, x.m) = left(y.line, y.m)
+  WHERE y.place < x.place AND (x.n = x.b OR y.n = y.b)
+  UNION SELECT x.line, y.line FROM halves x JOIN halves y ON x.b = y.b AND right(x.line, x.b - x.m) = right(y.line, y.b - y.m)
+  WHERE y.place < x.place AND (x.n = x.b OR y.n = y.b)),
+near AS (SELECT DISTINCT line FROM pairs WHERE levenshtein(line, earlier) = 1),
+kept AS (SELECT p.doc_id, p.pos FROM places p LEFT JOIN firsts f ON p.line = f.line LEFT JOIN near ON p.line = near.line
+         WHERE p.line = '' OR (near.line IS NULL AND f.place = (p.doc_id, p.pos))),
+texts AS (SELECT r.doc_id, string_agg(r.parts[k.pos + 1], chr(10) ORDER BY k.pos) AS text FROM rows r JOIN kept k ON r.doc_id = k.doc_id GROUP BY r.doc_id)
+SELECT r.doc_id, CASE WHEN r.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text, CAST(len(r.parts) AS int) AS n_lines,
+       CASE WHEN r.text IS NULL THEN NULL WHEN coalesce(t.text, '') = '' THEN 0 ELSE CAST(len(string_split(t.text, chr(10))) AS int) END AS n_kept
+FROM rows r LEFT JOIN texts t ON r.doc_id = t.doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": LINES_SQL}
