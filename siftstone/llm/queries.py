@@ -22,6 +22,13 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "media_sha256", feature.alias("feature"), "codec", "duration", "n_samples", "n_keyframes")
 
 
+def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded by the public SentencePiece model and decoded again."""
+    from .sentence_pieces import encode_pieces
+
+    return encode_pieces(table(spark, sf_dir, "documents"), checks=True)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document less its lines that an earlier one equals or nearly equals."""
     from .line_dedup import dedup_lines
@@ -78,6 +85,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
+    "op2_sentence_pieces": op2_sentence_pieces,
     "op4_line_dedup": op4_line_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_document_fingerprints": op6_document_fingerprints,
