@@ -51,16 +51,23 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     return int((np.uint64(1) << np.arange(64, dtype="u8"))[2 * ones > len(hashes)].sum())
 
 
-def fingerprints(docs: DataFrame, text: str | Column = "text", doc_id: str | Column = "doc_id", shingle: int = 4) -> DataFrame:
-    """``doc_id`` and ``print`` (64 bits as a signed long) of every row; null and empty texts have 0."""
-    rows = docs.select((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("long").alias("doc_id"), whole_text(text).cast("binary").alias("text"))
+def _prints_of(rows: DataFrame, shingle: int) -> DataFrame:
+    """``rows`` with ``print`` (64 bits as a signed long) in place of ``text``."""
+    rows = rows.withColumn("text", whole_text().cast("binary"))
+    schema = rows.drop("text").withColumn("print", F.lit(0).cast("long")).schema
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches):
             found = np.array([fingerprint(x.as_py(), shingle) for x in part.column("text")], "<u8").view("<i8")
-            yield from to_batches({"doc_id": part.column("doc_id"), "print": found}, pa.schema([("doc_id", pa.int64()), ("print", pa.int64())]))
+            yield from part.drop_columns("text").append_column("print", pa.array(found, pa.int64())).to_batches()
+
+    return rows.mapInArrow(read, schema)
+
 
-    return rows.mapInArrow(read, "doc_id long, print long")
+def fingerprints(docs: DataFrame, text: str | Column = "text", doc_id: str | Column = "doc_id", shingle: int = 4) -> DataFrame:
+    """``doc_id`` and ``print`` of every row; null and empty texts have 0."""
+    own = docs.select((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
+    return _prints_of(own, shingle)
 
 
 # --- the tree ------------------------------------------------------------------------------------------------------
@@ -245,6 +252,13 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def print_classes(prints: DataFrame, leaf_size: int = 32_768) -> DataFrame:
+    """``print, root`` for each distinct ``print``: the least print of its component."""
+    distinct = materialize(prints.select("print").distinct(), "distinct-prints")
+    roots = components(links(distinct, leaf_size))
+    return distinct.join(roots, F.col("print") == F.col("node"), "left").select("print", F.coalesce("root", "print").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, text: str | Column = "text", doc_id: str | Column = "doc_id", shingle: int = 4, leaf_size: int = 32_768) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row.
 
@@ -254,9 +268,27 @@ def near_duplicates(docs: DataFrame, text: str | Column = "text", doc_id: str |
     rows come back as often. An empty table gives an empty one.
     """
     prints = materialize(fingerprints(docs, text, doc_id, shingle), "fingerprints")
-    distinct = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("least_doc")), "distinct-prints")
-    roots = components(links(distinct, leaf_size))
-    labelled = distinct.join(roots, F.col("print") == F.col("node"), "left").select("print", "least_doc", F.coalesce("root", "print").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    of_print = labelled.join(least, "root").select("print", "component_id")
+    classes = materialize(print_classes(prints, leaf_size), "print-classes")
+    firsts = prints.groupBy("print").agg(F.min("doc_id").alias("least")).join(classes, "print")
+    least = firsts.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_print = classes.join(least, "root").select("print", "component_id")
     return prints.join(of_print, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, leaf_size: int = 32_768) -> DataFrame:
+    """The rows of ``docs``, unchanged, less all but one of each near-duplicate component.
+
+    The row with the component's least ``doc_id`` stays; of several such rows
+    the one with the least hash of its text, and of rows equal in both
+    one. A component of null ids only keeps its row of the least hash.
+    """
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    marked = materialize(_prints_of(keyed, shingle), "fingerprints")
+    classes = print_classes(marked, leaf_size)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
+    winners = marked.join(classes, "print").groupBy("root").agg(F.min(order).alias("w"))
+    chosen = materialize(winners.select(F.col("w.doc_id").alias("kept_id"), F.col("w.text_hash").alias("kept_hash")), "kept")
+    kept = docs.join(
+        chosen, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash")), "left_semi")
+    # Rows equal in id and text are the same document more than once.
+    return kept.dropDuplicates(["doc_id", "text"]).select(docs.columns)
