@@ -92,11 +92,18 @@ def _pieces(path: str):
         for batch in batches:
             coded = batch.column("token").dictionary_encode()
             words = coded.dictionary.to_pylist()
-            known = {last: last_pieces} if words and words[0] == last else {}
+            if not words:
+                continue
+            known = {last: last_pieces} if words[0] == last else {}
             pieces = [*known.values(), *(len(x.ids) for x in encode(words[len(known) :], add_special_tokens=False))]
-            if words:
-                last, last_pieces = words[-1], pieces[-1]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("place"), pa.array(pieces, pa.int32()).take(coded.indices)], ["of_block", "place", "pieces"])
+            last, last_pieces = words[-1], pieces[-1]
+            # A row per block, not per pre-token, goes back.
+            of_block, places = batch.column("block").to_numpy(), batch.column("place").to_numpy()
+            order = np.argsort(of_block, kind="stable")
+            owners, starts = np.unique(of_block[order], return_index=True)
+            places, found = places[order], np.array(pieces, "<i4")[coded.indices.to_numpy()[order]]
+            cut = lambda x: [part.astype("<i4").tobytes() for part in np.split(x, starts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(cut(places), pa.binary()), pa.array(cut(found), pa.binary())], ["of_block", "places", "pieces"])
 
     return count
 
@@ -104,8 +111,9 @@ def _pieces(path: str):
 def _sums(packed: pa.Table, answers: pa.Table) -> pa.Table:
     """The documents of one block with the sum of count times pieces."""
     out: dict[str, list] = {"doc_id": [], "n_bytes": [], "n_tokens": []}
-    pieces = np.zeros(answers.num_rows, "<i8")
-    pieces[answers.column("place").to_numpy()] = answers.column("pieces").to_numpy()
+    whole = lambda name: np.frombuffer(b"".join(answers.column(name).to_pylist()), "<i4")
+    pieces = np.zeros(len(whole("places")), "<i8")
+    pieces[whole("places")] = whole("pieces")
     for row in packed.to_pylist():
         # Sums below 2 ** 53 are exact in the float weights of bincount.
         total = lambda sizes, values: np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=values, minlength=len(sizes)).astype("<i8")
@@ -130,5 +138,5 @@ def count_tokens(docs: DataFrame, text: str | Column = "text", doc_id: str | Col
     packed = materialize(rows.mapInArrow(_frequencies(path), PACKED), "pretokens")
     asked = packed.select("block", F.posexplode("tokens").alias("place", "token"))
     sorted_tokens = asked.repartition("token").sortWithinPartitions("token")
-    answers = sorted_tokens.mapInArrow(_pieces(path), "of_block long, place int, pieces int")
+    answers = sorted_tokens.mapInArrow(_pieces(path), "of_block long, places binary, pieces binary")
     return packed.drop("tokens").groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")
