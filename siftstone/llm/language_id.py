@@ -72,7 +72,7 @@ def predictor(model: Model, batch: int = 256):
 
     def predict(texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        known = [i for i, x in enumerate(texts) if x and LETTERS.search(x)]
+        known = [i for i, x in enumerate(texts) if x and LETTERS.search(x)] if model.languages else []
         for start in range(0, len(known), batch):
             rows = known[start : start + batch]
             found = np.maximum(kernel([texts[i] for i in rows], landmarks) @ weights, 0)

@@ -2,7 +2,7 @@
 
 Fingerprints are 64 bits, linked at 4 or fewer differing bits. The distinct
 ones are routed through a vantage-point tree: each belongs to one leaf, and is
-sent as a query to every leaf that its ball may reach by the triangle bound.
+sent as a query to every later leaf that its ball may reach by the triangle bound.
 A leaf is a shard of the join; large leaves are cut into tasks by queries and
 members, so a leaf that cannot be split further is no single task. A
 task emits a spanning forest of the links it found, never all pairs. Links are
@@ -177,7 +177,7 @@ def leaf_links(members: np.ndarray, queries: np.ndarray, radius: int = RADIUS, t
     return points[linked], points[forest.root[linked]]
 
 
-def links(prints: DataFrame, leaf_size: int = 32_768, sample: int = 20_000, radius: int = RADIUS) -> DataFrame:
+def links(prints: DataFrame, leaf_size: int = 65_536, sample: int = 20_000, radius: int = RADIUS) -> DataFrame:
     """``a, b``: links whose components are those of all pairs of distinct ``print`` within ``radius`` bits.
 
     The tree is grown from at most about ``sample`` prints; it decides how much
@@ -195,6 +195,8 @@ def links(prints: DataFrame, leaf_size: int = 32_768, sample: int = 20_000, radi
             home_rows, home_leaf = tree.route(own, 0)
             home = np.empty(len(own), "i8")
             home[home_rows] = home_leaf
+            # Of two near points each reaches the other's leaf, so the one of the lower leaf goes to the higher.
+            rows, leaf = rows[leaf >= home[rows]], leaf[leaf >= home[rows]]
             yield from to_batches({"print": own[rows].view("i8"), "leaf": leaf, "home": home[rows] == leaf},
                                   pa.schema([("print", pa.int64()), ("leaf", pa.int32()), ("home", pa.bool_())]), 50_000)
 
@@ -252,14 +254,14 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def print_classes(prints: DataFrame, leaf_size: int = 32_768) -> DataFrame:
+def print_classes(prints: DataFrame, leaf_size: int = 65_536) -> DataFrame:
     """``print, root`` for each distinct ``print``: the least print of its component."""
     distinct = materialize(prints.select("print").distinct(), "distinct-prints")
     roots = components(links(distinct, leaf_size))
     return distinct.join(roots, F.col("print") == F.col("node"), "left").select("print", F.coalesce("root", "print").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, text: str | Column = "text", doc_id: str | Column = "doc_id", shingle: int = 4, leaf_size: int = 32_768) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str | Column = "text", doc_id: str | Column = "doc_id", shingle: int = 4, leaf_size: int = 65_536) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row.
 
     ``component_id`` is the least ``doc_id`` that links reach, itself included.
@@ -275,7 +277,7 @@ def near_duplicates(docs: DataFrame, text: str | Column = "text", doc_id: str |
     return prints.join(of_print, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 4, leaf_size: int = 32_768) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 4, leaf_size: int = 65_536) -> DataFrame:
     """The rows of ``docs``, unchanged, less all but one of each near-duplicate component.
 
     The row with the component's least ``doc_id`` stays; of several such rows
