@@ -11,7 +11,7 @@ rejected above its language's quantile of trusted perplexities.
 
 from __future__ import annotations
 
-import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +29,29 @@ BEGIN, END = "\x02", "\x03"
 BLOCK = {"rows": 16_384, "size": 16 << 20}
 
 
-def grams(texts: list[str], order: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+def pieces(texts: list[str], order: int, size: int = 1 << 20) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Padded texts and their numbers, about ``size`` characters at a time; a longer text comes in overlapping pieces."""
+    held: list[str] = []
+    owners: list[int] = []
+    n = 0
+    for owner, text in enumerate(texts):
+        padded = BEGIN * (order - 1) + text + END
+        for at in range(0, len(padded) - order + 1, size):
+            own = padded[at : at + size + order - 1]
+            held.append(own)
+            owners.append(owner)
+            n += len(own)
+            if n >= size:
+                yield held, np.array(owners)
+                held, owners, n = [], [], 0
+    if held:
+        yield held, np.array(owners)
+
+
+def grams(padded: list[str], order: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct n-grams of padded texts; for each position its n-gram's number and its text's."""
-    padded = [BEGIN * (order - 1) + x + END for x in texts]
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype("i8")
-    owners = np.repeat(np.arange(len(texts)), [len(x) for x in padded])
+    owners = np.repeat(np.arange(len(padded)), [len(x) for x in padded])
     # Characters first, then one more at a time: numbers stay dense, so no key overflows.
     numbers, chars = pd.factorize(codes)
     spelled = chars.astype("<u4").reshape(-1, 1)
@@ -43,10 +61,9 @@ def grams(texts: list[str], order: int) -> tuple[list[str], np.ndarray, np.ndarr
         numbers, found = pd.factorize(keys)
         spelled = np.concatenate((spelled[found // len(chars)], chars[found % len(chars)].astype("<u4").reshape(-1, 1)), axis=1)
     inside = owners[: len(numbers)] == owners[order - 1 :]
-    numbers, owners = numbers[inside], owners[order - 1 :][inside]
-    used, numbers = np.unique(numbers, return_inverse=True) if len(numbers) < 1000 else _compact(numbers, len(spelled))
+    used, numbers = _compact(numbers[inside], len(spelled))
     data = spelled[used].tobytes().decode("utf-32-le", "surrogatepass")
-    return [data[i : i + order] for i in range(0, len(data), order)], numbers, owners
+    return [data[i : i + order] for i in range(0, len(data), order)], numbers, owners[order - 1 :][inside]
 
 
 def _compact(numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,8 +77,11 @@ def count_grams(texts: DataFrame, order: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, **BLOCK):
-            names, numbers, _ = grams(part.column("text").to_pylist(), order)
-            yield from to_batches({"gram": names, "c": np.bincount(numbers, minlength=len(names))}, pa.schema([("gram", pa.string()), ("c", pa.int64())]), 50_000)
+            total: Counter[str] = Counter()
+            for padded, _ in pieces(part.column("text").to_pylist(), order):
+                names, numbers, _ = grams(padded, order)
+                total.update(dict(zip(names, np.bincount(numbers, minlength=len(names)).tolist())))
+            yield from to_batches({"gram": list(total), "c": list(total.values())}, pa.schema([("gram", pa.string()), ("c", pa.int64())]))
 
     return texts.select("text").mapInArrow(count, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
@@ -129,8 +149,8 @@ def score_documents(docs: DataFrame, model: KneserNey) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, part in zip(block_ids(), blocks(batches, **BLOCK)):
-            names, _, _ = grams(part.column("text").to_pylist(), order)
-            yield from to_batches({"block": [number] * len(names), "gram": names}, pa.schema([("block", pa.int64()), ("gram", pa.string())]), 50_000)
+            names = list(set().union(*(grams(padded, order)[0] for padded, _ in pieces(part.column("text").to_pylist(), order))))
+            yield from to_batches({"block": [number] * len(names), "gram": names}, pa.schema([("block", pa.int64()), ("gram", pa.string())]))
 
     kinds = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("text_hash", pa.list_(pa.int64())), ("lang", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())), ("texts", pa.binary())])
 
@@ -148,13 +168,16 @@ def score_documents(docs: DataFrame, model: KneserNey) -> DataFrame:
         for row in packed.to_pylist():
             data, ends = zstandard.decompress(row["texts"]), np.cumsum(row["sizes"]).tolist()
             texts = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *ends], ends)]
-            names, numbers, owners = grams(texts, order)
-            # A KeyError here means that the two scans gave different blocks.
-            values = np.array([logs[x] for x in names])
+            nll = np.zeros(len(texts))
+            for padded, texts_at in pieces(texts, order):
+                names, numbers, owners = grams(padded, order)
+                # A KeyError here means that the two scans gave different blocks.
+                values = np.array([logs[x] for x in names])
+                np.subtract.at(nll, texts_at, np.bincount(owners, weights=values[numbers], minlength=len(padded)))
             for name in ("doc_id", "text_hash", "lang"):
                 columns[name] += row[name]
             columns["n"] += [len(x) + 1 for x in texts]
-            columns["nll"] += (-np.bincount(owners, weights=values[numbers], minlength=len(texts))).tolist()
+            columns["nll"] += nll.tolist()
         return pa.table(columns, schema=out)
 
     rows = _rows(docs)
