@@ -103,7 +103,8 @@ class KneserNey:
     def _discounts(self, n: int) -> tuple[float, float, float]:
         t = self.counts[n].agg(*(F.count_if(F.col("c") == k).alias(f"t{k}") for k in (1, 2, 3, 4))).first()
         y = t["t1"] / (t["t1"] + 2 * t["t2"]) if t["t1"] else 0.5
-        part = lambda k: min(max(k - (k + 1) * y * t[f"t{k + 1}"] / t[f"t{k}"], 0.0), float(k)) if t[f"t{k}"] else 0.5 * k
+        # Never nothing: unseen symbols keep a share.
+        part = lambda k: min(max(k - (k + 1) * y * t[f"t{k + 1}"] / t[f"t{k}"], 0.05), float(k)) if t[f"t{k}"] else 0.5 * k
         return part(1), part(2), part(3)
 
     def _discount(self, n: int):
