@@ -67,7 +67,6 @@ SNIFF_BYTES, SUSPICIOUS_PERCENT = 8192, 10
 # Directive prefixes and frames of the line-based extractor.
 SEARCH_PREFIX, CONTEXT_PREFIX = "@search:", "@filectx:"
 FOLLOWING_LINES = 10
-MAX_LINE_BYTES = 1024 * 1024
 
 # Snippet lengths in lines.
 SIGNATURE_LINES, BODY_LINES, VALUE_LINES, ARROW_SIGNATURE_LINES = 4, 10, 6, 2
@@ -118,3 +117,6 @@ NO_HITS = "No matches found"
 INDEX_LINE = r"Indexed\s+(\d+)\s+symbols\s+in\s+(\d+)\s+files"
 INDEX_UP_TO_DATE = "Index already up to date"
 COMMIT_PATTERN = "^[a-f0-9]{40}$"
+
+# Schema version a manifest without one has.
+MANIFEST_SCHEMA_VERSION = 1

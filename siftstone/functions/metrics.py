@@ -41,7 +41,3 @@ def quality_score(top1: Column, top3: Column, mrr: Column) -> Column:
     """0..100; half rounds away from zero. The inner round drops float noise."""
     mix = 100 * (fixed.TOP1_SHARE * top1 + fixed.TOP3_SHARE * top3 + fixed.MRR_SHARE * mrr)
     return F.round(F.round(mix, 9)).cast("int")
-
-
-def pluralize_word(count: Column, singular: str, plural: str | None = None) -> Column:
-    return F.when(count == 1, F.lit(singular)).otherwise(F.lit(plural or singular + "s"))

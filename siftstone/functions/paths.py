@@ -118,9 +118,6 @@ def path_weight(path: Column, weights: Mapping[str, float] | None = None) -> Col
     return out.otherwise(F.lit(1.0))
 
 
-def effective_weight(weight: Column) -> Column:
-    return F.when((weight <= 0) | (weight > 1), F.lit(1.0)).otherwise(weight)
-
 
 def base_name(path: Column) -> Column:
     """Last path component; '.' for an empty path and '/' for the root."""

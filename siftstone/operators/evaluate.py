@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, metrics
@@ -10,17 +10,21 @@ from ..functions.documents import normalize_mode
 from ..functions.text import trim_space
 
 
+#: Query ids are unique within a repository only.
+QUERY = ["repo", "query_id"]
+
+
 def score_queries(expected: DataFrame, hits: DataFrame) -> DataFrame:
-    """Metrics per query from ``expected(query_id, expected_ref)`` and
-    ``hits(query_id, rank, path, line)``: the best expected hit up to rank 10."""
+    """Metrics per query from ``expected(repo, query_id, expected_ref)`` and
+    ``hits(repo, query_id, rank, path, line)``: the best expected hit up to rank 10."""
     refs = hits.filter(F.col("rank") <= fixed.MAX_SCORED_RANK).select(
-        "query_id", "rank", metrics.hit_ref(F.col("path"), F.col("line")).alias("expected_ref"))
+        *QUERY, "rank", metrics.hit_ref(F.col("path"), F.col("line")).alias("expected_ref"))
     # Ranks are reduced per query and reference before they meet the labels.
-    best = refs.groupBy("query_id", "expected_ref").agg(F.min("rank").alias("rank"))
-    scored = expected.join(best, ["query_id", "expected_ref"], "left").groupBy("query_id").agg(F.min("rank").alias("rank"))
+    best = refs.groupBy(*QUERY, "expected_ref").agg(F.min("rank").alias("rank"))
+    scored = expected.join(best, [*QUERY, "expected_ref"], "left").groupBy(*QUERY).agg(F.min("rank").alias("rank"))
     rank = F.coalesce(F.col("rank"), F.lit(0))
     return scored.select(
-        "query_id", (rank == 1).alias("top1_success"), ((rank > 0) & (rank <= 3)).alias("top3_success"),
+        *QUERY, (rank == 1).alias("top1_success"), ((rank > 0) & (rank <= 3)).alias("top3_success"),
         F.when(rank > 0, 1.0 / rank).otherwise(0.0).alias("rr"), rank.cast("int").alias("observed_rank"))
 
 
@@ -87,11 +91,11 @@ def latest_index_run(runs: DataFrame) -> DataFrame:
 def first_top_hit(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """First hit of a query's first run, null where that run has none.
 
-    ``queries`` hold ``query_id, first_run``; ``hits`` hold ``run`` as well.
+    ``queries`` hold ``repo, query_id, first_run``; ``hits`` hold ``run`` as well.
     """
-    best = hits.groupBy("query_id", "run").agg(F.min(F.struct("rank", "path", "line")).alias("hit"))
-    return queries.join(best.withColumnRenamed("run", "first_run"), ["query_id", "first_run"], "left").select(
-        "query_id", F.col("hit.path").alias("path"), F.col("hit.line").alias("line"))
+    best = hits.groupBy(*QUERY, "run").agg(F.min(F.struct("rank", "path", "line")).alias("hit"))
+    return queries.join(best.withColumnRenamed("run", "first_run"), [*QUERY, "first_run"], "left").select(
+        *QUERY, F.col("hit.path").alias("path"), F.col("hit.line").alias("line"))
 
 
 def ranking_misses(scored: DataFrame) -> DataFrame:
@@ -183,10 +187,10 @@ def validate_suite(rows: DataFrame) -> DataFrame:
     repos = has_repo.groupBy(*repo_key).agg(F.count("query_at").alias("queries"))
     has_query = has_repo.filter(F.col("query_at").isNotNull())
     hits = F.coalesce("expected_hits", F.array().cast("array<string>"))
-    twice = lambda table, *keys: table.withColumn(*("seen", F.trim(keys[-1]))).filter(F.col("seen") != "").groupBy(
+    twice = lambda table, *keys: table.withColumn("seen", trim_space(F.col(keys[-1]))).filter(F.col("seen") != "").groupBy(
         *keys[:-1], "seen").count().filter("count > 1")
     repeated_repos = twice(repos, "suite_id", "repo").select("suite_id", F.col("seen").alias("repo"))
-    repeated_queries = twice(has_query, "suite_id", "repo", "query_id").select("suite_id", "repo", F.col("seen").alias("query_id"))
+    repeated_queries = twice(has_query, "suite_id", "repo_at", "repo", "query_id").select("suite_id", "repo", F.col("seen").alias("query_id"))
     parts = [
         rules(suites, ["suite_id"], [
             ("suite id is required", blank("suite_id")),
@@ -225,9 +229,3 @@ def tool_report(results: DataFrame, expected: DataFrame) -> tuple[DataFrame, Dat
     times = results.select("repo", "query_id", "run", "duration_ms").distinct().groupBy("repo", "query_id").agg(
         F.avg("duration_ms").alias("warm_search_mean_ms"))
     return scored, times
-
-
-def numbered_runs(runs: DataFrame, order: str) -> DataFrame:
-    """Runs of each repository and kind, numbered in time."""
-    window = Window.partitionBy("repo", "run_kind").orderBy(order)
-    return runs.withColumn("run_no", F.row_number().over(window))

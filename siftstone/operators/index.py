@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import documents as D
+from ..functions import fixed
+from ..functions.text import trim_space
 
 OWNER = ["provider", "model_id"]
 HASH = [*OWNER, "embedding_hash"]
@@ -217,19 +219,33 @@ def bind_manifests(manifests: DataFrame, bindings: DataFrame) -> DataFrame:
         "repo", "version", "indexing_hash", F.lit("remote").alias("source"), "ci_url")
 
 
+def normal_manifests(manifests: DataFrame) -> DataFrame:
+    """Manifests as they are read: defaults filled in, texts without blanks around them."""
+    clean = lambda name: trim_space(F.coalesce(F.col(name), F.lit("")))
+    schema = F.coalesce("schema_version", F.lit(0))
+    return manifests.withColumns({
+        "schema_version": F.when(schema == 0, fixed.MANIFEST_SCHEMA_VERSION).otherwise(schema),
+        "version": F.greatest(F.coalesce("version", F.lit(0)), F.lit(0)).cast("long"), "indexing_hash": clean("indexing_hash"),
+        "source": F.lower(clean("source")), "ci_url": clean("ci_url")})
+
+
 def reconcile_manifests(local: DataFrame, published: DataFrame) -> DataFrame:
     """What a sync does per repository.
 
-    ``local`` holds ``repo, version, indexing_hash, source, ci_url, has_index``;
-    ``published`` holds ``repo, version, indexing_hash``. A published manifest
-    always counts as bound to the local url.
+    ``local`` holds ``repo, schema_version, version, indexing_hash, source,
+    ci_url, has_index``; ``published`` the same without the last and with any
+    ``source``. Both are normalised first. A published manifest counts
+    as remote, and without an url of its own has the local one; where it
+    differs in nothing but its schema version or url, only the manifest is
+    written anew.
     """
-    remote = published.select("repo", F.col("version").alias("remote_version"), F.col("indexing_hash").alias("remote_hash"))
-    url = F.trim(F.coalesce("ci_url", F.lit("")))
-    bound = (F.col("source") == "remote") & (url != "")
-    same = (F.col("version") == F.col("remote_version")) & (F.col("indexing_hash") == F.col("remote_hash"))
-    # The same version and hash can still differ in how the fields are written.
-    written = F.coalesce("ci_url", F.lit("")) == url
+    own = normal_manifests(local)
+    remote = normal_manifests(published.withColumn("source", F.lit("remote"))).select(
+        "repo", *(F.col(name).alias(f"remote_{name}") for name in ("schema_version", "version", "indexing_hash", "ci_url")))
+    bound = (F.col("source") == "remote") & (F.col("ci_url") != "")
+    same = (F.col("version") == F.col("remote_version")) & (F.col("indexing_hash") == F.col("remote_indexing_hash"))
+    url = F.when(F.col("remote_ci_url") == "", F.col("ci_url")).otherwise(F.col("remote_ci_url"))
+    written = (F.col("schema_version") == F.col("remote_schema_version")) & (F.col("ci_url") == url)
     action = (
         F.when(~bound, "unbound")
         .when(F.col("remote_version").isNull() & F.col("has_index"), "keep-local")
@@ -238,7 +254,7 @@ def reconcile_manifests(local: DataFrame, published: DataFrame) -> DataFrame:
         .when(~written, "metadata-refresh")
         .otherwise("up-to-date")
     )
-    return local.join(remote, "repo", "left").select("repo", action.alias("action"))
+    return own.join(remote, "repo", "left").select("repo", action.alias("action"))
 
 
 def symbol_rows(keyed: DataFrame, snapshot_id: int) -> DataFrame:

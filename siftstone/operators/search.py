@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as X
+from ..functions.documents import normalize_mode
 from ..functions.paths import path_weight
 from ..schemas import SYMBOL_TEXT
 from ..session import materialize
@@ -113,16 +114,31 @@ def prefer_lexical(tops: DataFrame) -> DataFrame:
         .otherwise(X.prefers_lexical(F.col("text")) & wins).alias("prefer_lexical"))
 
 
+def read_mode(queries: DataFrame) -> Column:
+    """The normalised mode, ``auto`` for none, null for an unknown one."""
+    return normalize_mode(F.coalesce("mode", F.lit(""))) if "mode" in queries.columns else F.lit("auto")
+
+
+def unknown_modes(queries: DataFrame) -> DataFrame:
+    """``query_id, mode, error`` of the queries that no search answers."""
+    return queries.filter(read_mode(queries).isNull()).select("query_id", "mode", F.lit("unknown-mode").alias("error"))
+
+
 def auto_search(queries: DataFrame, symbols: DataFrame, embeddings: DataFrame,
                 weights: Mapping[str, float] | None = None, limit: int = fixed.DEFAULT_LIMIT,
                 max_distance: float = fixed.DEFAULT_MAX_DISTANCE) -> DataFrame:
     """Hits of every query by its mode; ``auto`` (or no ``mode``) is routed.
 
+    Modes are read without blanks and case. A query of an unknown mode has no
+    hits: it is an error that :func:`unknown_modes` tells. A ``limit`` of zero or
+    less is the default.
     Routed queries that look like code go lexical. The others go semantic; the
     distance cut is dropped for a query whose hits all fail it, and a query
     without any neighbour goes lexical. One neighbour search serves both cuts.
     """
-    mode = F.col("mode") if "mode" in queries.columns else F.lit("auto")
+    limit = limit if limit > 0 else fixed.DEFAULT_LIMIT
+    mode = read_mode(queries)
+    queries = queries.filter(mode.isNotNull())
     routed = materialize(queries.select(
         "query_id", "text", "query_vector", mode.alias("mode"),
         F.when(mode == "lexical", "lexical").when(mode == "semantic", "semantic")

@@ -9,6 +9,7 @@ rows, and both emit at most ``k`` candidates per query and task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,17 +20,11 @@ from pyspark.sql import types as T
 
 # Query sets of at most this many vector components are broadcast (64 MB).
 BROADCAST_COMPONENTS = 8_000_000
-CELL_ROWS, QUERY_ROWS, MAX_PIVOTS = 8192, 8192, 512
+CELL_ROWS, QUERY_ROWS, LEAST_PIVOTS = 8192, 8192, 512
 PAIR_BLOCK = 4_000_000
 DIGITS = 9
 
 
-def l2_distance(left: Column, right: Column) -> Column:
-    """Distance of two arrays of the same length, as a JVM expression."""
-    squares = F.zip_with(left, right, lambda a, b: (a.cast("double") - b.cast("double")) ** 2)
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, square: total + square))
-
-
 def l2_normalize(vector: Column) -> Column:
     """Vector of length one; a zero vector stays as it is."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
@@ -103,7 +98,7 @@ def vector_knn(queries: DataFrame, index: DataFrame, k: int, query_id: str = "qu
 
 def _check(vectors: np.ndarray, dim: int) -> np.ndarray:
     if vectors.shape[1] != dim:
-        raise ValueError(f"invalid query dimension: got={dim} want={vectors.shape[1]}")
+        raise ValueError(f"vectors of {vectors.shape[1]} components met queries of {dim}")
     return vectors
 
 
@@ -137,8 +132,9 @@ def _knn_cells(queries, index, k, dim, schema, query_vector, vector, n_queries)
     n_items = index.count()
     if not n_items:
         return spark.createDataFrame([], schema)
-    # Pivots: a bounded, repeatable pick, without copies of one vector.
-    wanted = int(min(MAX_PIVOTS, max(1, -(-n_items // CELL_ROWS))))
+    # Pivots: a repeatable pick, without copies of one vector. Their number grows
+    # as the root of the index, so cells and pivots grow alike.
+    wanted = min(max(LEAST_PIVOTS, math.isqrt(n_items)), max(1, -(-n_items // CELL_ROWS)))
     picked = index.orderBy(F.xxhash64(item_id), item_id).limit(wanted).toPandas()
     pivots = np.unique(_check(_matrix(picked[vector]), dim), axis=0)
     shared = spark.sparkContext.broadcast(pivots)
@@ -151,9 +147,9 @@ def _knn_cells(queries, index, k, dim, schema, query_vector, vector, n_queries)
             _, cell, radius = _nearest(_check(_matrix(batch), dim), shared.value, 1)
             yield pd.DataFrame({"cell": cell.astype("int32"), "radius": radius})
 
-    assign = F.pandas_udf(cell_of, "cell int, radius double", F.PandasUDFType.SCALAR_ITER)
+    assign = F.pandas_udf(cell_of, "cell int, radius double")
     placed = index.withColumn("at", assign(F.col(vector)))
-    # One row per cell, so at most MAX_PIVOTS rows come back.
+    # One row per cell, so as many as pivots come back.
     cells = placed.groupBy("at.cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("at.radius").alias("low"), F.max("at.radius").alias("high")).toPandas()
     summary = spark.sparkContext.broadcast(cells.sort_values("cell").reset_index(drop=True))

@@ -10,9 +10,7 @@ from .views import view, with_views
 
 
 def _scored(spark, sf):
-    labels = view(spark, sf, "labels_v")
-    scored = V.score_queries(labels.select("query_id", "expected_ref"), view(spark, sf, "hits_v").filter("run = 0"))
-    return scored.join(labels.select("query_id", "repo").distinct(), "query_id")
+    return V.score_queries(view(spark, sf, "labels_v"), view(spark, sf, "hits_v").filter("run = 0"))
 
 
 def score_queries(spark, sf):
@@ -50,15 +48,15 @@ def latest_index_run(spark, sf):
 
 def first_top_hit(spark, sf):
     hits = view(spark, sf, "hits_v")
-    return V.first_top_hit(hits.groupBy("query_id").agg((F.min("run") + F.max("line") % 2).alias("first_run")), hits)
+    return V.first_top_hit(hits.groupBy("repo", "query_id").agg((F.min("run") + F.max("line") % 2).alias("first_run")), hits)
 
 
 def ranking_misses(spark, sf):
     misses = V.ranking_misses(_scored(spark, sf)).select("repo", "query_id", "top3_success", "observed_rank")
     hits = view(spark, sf, "hits_v")
-    first = V.first_top_hit(hits.select("query_id").distinct().withColumn("first_run", F.lit(0)), hits)
-    labels = view(spark, sf, "labels_v").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("expected_ref")), ", ").alias("expected"))
-    return misses.join(first, "query_id").join(labels, "query_id").select(
+    first = V.first_top_hit(hits.select("repo", "query_id").distinct().withColumn("first_run", F.lit(0)), hits)
+    labels = view(spark, sf, "labels_v").groupBy("repo", "query_id").agg(F.array_join(F.array_sort(F.collect_set("expected_ref")), ", ").alias("expected"))
+    return misses.join(first, V.QUERY).join(labels, V.QUERY).select(
         "repo", "query_id", "expected", V.top_hit_text(F.col("path"), F.col("line"), F.col("observed_rank")).alias("got"),
         F.when(F.col("top3_success"), "yes").otherwise("no").alias("top3"))
 
@@ -92,7 +90,7 @@ def validate_suite(spark, sf):
 
 
 _SCORED = """ranked AS (SELECT l.query_id, l.repo, coalesce(min(h.rank), 0) AS r FROM labels_v l LEFT JOIN hits_v h
- ON h.query_id = l.query_id AND concat(h.path, ':', h.line) = l.expected_ref AND h.rank <= 10 AND h.run = 0 GROUP BY l.query_id, l.repo),
+ ON h.repo = l.repo AND h.query_id = l.query_id AND concat(h.path, ':', h.line) = l.expected_ref AND h.rank <= 10 AND h.run = 0 GROUP BY l.query_id, l.repo),
 scored AS (SELECT query_id, repo, r = 1 AS top1_success, r BETWEEN 1 AND 3 AS top3_success, CASE WHEN r > 0 THEN 1.0::DOUBLE / r ELSE 0 END AS rr, r::INT AS observed_rank FROM ranked)"""
 _QUALITY = """round(avg(top1_success::INT::DOUBLE), 9) AS top1, round(avg(top3_success::INT::DOUBLE), 9) AS top3, round(avg(rr), 9) AS mrr,
  round(round(100 * (0.5 * avg(top1_success::INT::DOUBLE) + 0.2 * avg(top3_success::INT::DOUBLE) + 0.3 * avg(rr)), 9))::INT AS quality_score"""
@@ -113,12 +111,12 @@ QUERIES = {
  UNION ALL SELECT '', {_MODE}, count(*) FROM suite_queries_v GROUP BY ALL) GROUP BY repo""", "suite_queries_v")),
     "latest_index_run": (latest_index_run, with_views("""SELECT repo, run_kind, event_id AS run_no, indexed_symbols, indexed_files FROM (SELECT *, row_number() OVER (PARTITION BY repo
  ORDER BY (indexed_symbols > 0 OR indexed_files > 0) DESC, (run_kind = 'warm_index') DESC, event_id DESC) AS place FROM runs_v WHERE run_kind IN ('cold_index', 'warm_index')) WHERE place = 1""", "runs_v")),
-    "first_top_hit": (first_top_hit, with_views("""SELECT q.query_id, h.path, h.line FROM (SELECT query_id, min(run) + max(line) % 2 AS first_run FROM hits_v GROUP BY query_id) q
- LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY query_id, run ORDER BY rank, path, line) AS at FROM hits_v) h ON h.query_id = q.query_id AND h.run = q.first_run AND h.at = 1""", "hits_v")),
-    "ranking_misses": (ranking_misses, with_views(f"""WITH {_SCORED}, tops AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, path, line) AS at FROM hits_v WHERE run = 0),
- wanted AS (SELECT query_id, string_agg(DISTINCT expected_ref, ', ' ORDER BY expected_ref) AS expected FROM labels_v GROUP BY query_id)
+    "first_top_hit": (first_top_hit, with_views("""SELECT q.repo, q.query_id, h.path, h.line FROM (SELECT repo, query_id, min(run) + max(line) % 2 AS first_run FROM hits_v GROUP BY ALL) q
+ LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY repo, query_id, run ORDER BY rank, path, line) AS at FROM hits_v) h ON h.repo = q.repo AND h.query_id = q.query_id AND h.run = q.first_run AND h.at = 1""", "hits_v")),
+    "ranking_misses": (ranking_misses, with_views(f"""WITH {_SCORED}, tops AS (SELECT *, row_number() OVER (PARTITION BY repo, query_id ORDER BY rank, path, line) AS at FROM hits_v WHERE run = 0),
+ wanted AS (SELECT repo, query_id, string_agg(DISTINCT expected_ref, ', ' ORDER BY expected_ref) AS expected FROM labels_v GROUP BY ALL)
  SELECT s.repo, s.query_id, w.expected, CASE WHEN t.path IS NULL THEN 'no hits' WHEN observed_rank > 0 THEN concat(t.path, ':', t.line, ' @ rank ', observed_rank) ELSE concat(t.path, ':', t.line) END AS got,
- CASE WHEN top3_success THEN 'yes' ELSE 'no' END AS top3 FROM scored s JOIN wanted w ON s.query_id = w.query_id LEFT JOIN tops t ON t.query_id = s.query_id AND t.at = 1 WHERE NOT top1_success""", *_LABELLED)),
+ CASE WHEN top3_success THEN 'yes' ELSE 'no' END AS top3 FROM scored s JOIN wanted w ON s.repo = w.repo AND s.query_id = w.query_id LEFT JOIN tops t ON t.repo = s.repo AND t.query_id = s.query_id AND t.at = 1 WHERE NOT top1_success""", *_LABELLED)),
     "miss_report": (miss_report, with_views(f"""WITH {_SCORED} SELECT repo, query_id, observed_rank, greatest((SELECT count(*) FROM scored WHERE NOT top1_success) - 10, 0) AS more_omitted
  FROM scored WHERE NOT top1_success ORDER BY repo, query_id LIMIT 10""", *_LABELLED)),
     "slowest_queries": (slowest_queries, with_views("""SELECT repo, query_id, round(avg(duration_ms), 9) AS warm_search_mean_ms FROM runs_v WHERE run_kind = 'warm_search'
@@ -146,5 +144,5 @@ QUERIES = {
  UNION ALL SELECT suite_id, repo, query_id, 'query must define at least one expected hit' FROM q WHERE len(expected_hits) = 0
  UNION ALL SELECT suite_id, repo, query_id, 'query has an invalid expected hit' FROM q WHERE len(list_filter(expected_hits, lambda h: NOT contains(h, ':'))) > 0
  UNION ALL SELECT suite_id, rid, '', 'repository is duplicated' FROM p WHERE rid <> '' GROUP BY suite_id, rid HAVING count(*) > 1
- UNION ALL SELECT suite_id, repo, qid, 'query is duplicated' FROM q WHERE qid <> '' GROUP BY suite_id, repo, qid HAVING count(*) > 1""", "suite_rows_v")),
+ UNION ALL SELECT suite_id, repo, qid, 'query is duplicated' FROM q WHERE qid <> '' GROUP BY suite_id, repo_at, repo, qid HAVING count(*) > 1""", "suite_rows_v")),
 }

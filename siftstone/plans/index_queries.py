@@ -95,7 +95,7 @@ def vacuum_file_states(spark, sf):
 
 
 def union_dims(spark, sf):
-    tables = I.union_dims(view(spark, sf, "embeddings_v"), view(spark, sf, "near_embeddings_v"))
+    tables = I.union_dims(view(spark, sf, "embeddings_v"), view(spark, sf, "wide_embeddings_v"))
     return tables.groupBy("dim").agg(F.count(F.lit(1)).alias("vectors"), F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most"))
 
 
@@ -200,8 +200,8 @@ QUERIES = {
     "vacuum_embeddings": (vacuum_embeddings, with_views("""SELECT concat(provider, '|', model_id, '|', embedding_hash) AS embedding_key FROM model_embeddings_v WHERE concat(provider, '|', model_id, '|', embedding_hash) IN (
  SELECT concat(provider, '|', model_id, '|', embedding_hash) FROM snapshot_symbols_v WHERE snapshot_id IN (SELECT snapshot_id FROM pointers_v))""", *_IDX)),
     "vacuum_file_states": (vacuum_file_states, with_views("SELECT * FROM state_files_v WHERE state_version IN (SELECT state_version FROM state_pointers_v)", "state_files_v", "state_pointers_v")),
-    "union_dims": (union_dims, with_views("""SELECT dim, count(*) AS vectors, min(len(embedding))::INT AS least, max(len(embedding))::INT AS most FROM (SELECT dim, embedding FROM embeddings_v UNION ALL SELECT dim, embedding FROM near_embeddings_v) GROUP BY dim""",
-                              "embeddings_v", "near_embeddings_v")),
+    "union_dims": (union_dims, with_views("""SELECT dim, count(*) AS vectors, min(len(embedding))::INT AS least, max(len(embedding))::INT AS most FROM (SELECT dim, embedding FROM embeddings_v UNION ALL SELECT dim, embedding FROM wide_embeddings_v) GROUP BY dim""",
+                              "embeddings_v", "wide_embeddings_v")),
     "activate_snapshot": (activate_snapshot, with_views("""SELECT provider, model_id, snapshot_id FROM pointers_v WHERE model_id NOT IN ('en', 'fr')
  UNION ALL SELECT provider, model_id, min(snapshot_id) FROM snapshots_v WHERE model_id IN ('en', 'fr') GROUP BY provider, model_id""", "pointers_v", "snapshots_v")),
     "activation_errors": (activation_errors, with_views("""SELECT u.provider, 'en' AS model_id, u.state_version * 2 AS state_version, CASE WHEN h.state_version IS NULL THEN 'unknown version' ELSE 'wrong owner' END AS error
@@ -213,8 +213,9 @@ QUERIES = {
     "state_matches": (state_matches, with_views("SELECT 'same' AS state, TRUE AS matches UNION ALL SELECT 'other scanner', FALSE UNION ALL SELECT 'previous', (SELECT count(*) FROM (SELECT * FROM files_v EXCEPT SELECT * FROM prev_files_v)) + (SELECT count(*) FROM (SELECT * FROM prev_files_v EXCEPT SELECT * FROM files_v)) = 0", *_FILES[:2])),
     "bump_manifests": (bump_manifests, with_views("SELECT repo, version + 1 AS version, md5(concat(repo, indexing_hash)) AS indexing_hash, 'local' AS source, NULL::VARCHAR AS ci_url FROM manifests_v", "manifests_v")),
     "bind_manifests": (bind_manifests, with_views("SELECT repo, version, indexing_hash, 'remote' AS source, concat('https://ci/', repo) AS ci_url FROM manifests_v", "manifests_v")),
-    "reconcile_manifests": (reconcile_manifests, with_views("""SELECT l.repo, CASE WHEN l.source <> 'remote' OR trim(l.ci_url) = '' THEN 'unbound' WHEN p.repo IS NULL AND l.has_index THEN 'keep-local' WHEN p.repo IS NULL THEN 'missing'
- WHEN NOT l.has_index OR l.version <> p.version OR l.indexing_hash <> p.indexing_hash THEN 'download' WHEN l.ci_url <> trim(l.ci_url) THEN 'metadata-refresh' ELSE 'up-to-date' END AS action
+    "reconcile_manifests": (reconcile_manifests, with_views("""SELECT l.repo, CASE WHEN lower(trim(l.source)) <> 'remote' OR trim(l.ci_url) = '' THEN 'unbound' WHEN p.repo IS NULL AND l.has_index THEN 'keep-local' WHEN p.repo IS NULL THEN 'missing'
+ WHEN NOT l.has_index OR l.version <> p.version OR trim(l.indexing_hash) <> trim(p.indexing_hash) THEN 'download'
+ WHEN greatest(l.schema_version, 1) <> p.schema_version OR trim(l.ci_url) <> coalesce(nullif(trim(p.ci_url), ''), trim(l.ci_url)) THEN 'metadata-refresh' ELSE 'up-to-date' END AS action
  FROM manifests_v l LEFT JOIN published_v p ON l.repo = p.repo""", "manifests_v", "published_v")),
     "write_read_index": (write_read_index, with_views(f"""SELECT s.snapshot_id, s.path, s.symbol_id, md5(s.body) AS body, len(e.embedding)::INT AS dim FROM snapshot_symbols_v s JOIN pointers_v p ON {_ACTIVE}
  JOIN model_embeddings_v e ON {_E} WHERE s.model_id = 'en'""", *_IDX)),

@@ -13,7 +13,7 @@ from .text_queries import document_ctes, document_hash
 from .views import view, with_views
 
 # A cut that leaves some queries with hits and some with none.
-NEAR_CUT = 0.42
+NEAR_CUT = 0.97
 
 
 def lexical_search(spark, sf):
@@ -30,13 +30,13 @@ def vector_knn_cells(spark, sf):
 
 
 def semantic_max_distance(spark, sf):
-    nearest = vector_knn(view(spark, sf, "near_queries_v"), view(spark, sf, "near_embeddings_v"), 50)
+    nearest = vector_knn(view(spark, sf, "near_queries_v"), view(spark, sf, "embeddings_v"), 50)
     return S.within_distance(nearest, NEAR_CUT)
 
 
 def semantic_search(spark, sf):
     return S.semantic_search(view(spark, sf, "near_queries_v"), view(spark, sf, "symbols_v"),
-                             view(spark, sf, "near_embeddings_v"), max_distance=NEAR_CUT)
+                             view(spark, sf, "embeddings_v"), max_distance=NEAR_CUT)
 
 
 def semantic_search_uncut(spark, sf):
@@ -45,15 +45,19 @@ def semantic_search_uncut(spark, sf):
 
 def _auto(spark, sf):
     return S.auto_search(view(spark, sf, "near_queries_v"), view(spark, sf, "symbols_v"),
-                         view(spark, sf, "near_embeddings_v"), max_distance=NEAR_CUT)
+                         view(spark, sf, "embeddings_v"), max_distance=NEAR_CUT)
 
 
 def auto_search(spark, sf):
     return _auto(spark, sf)
 
 
+def unknown_modes(spark, sf):
+    return S.unknown_modes(view(spark, sf, "queries_v"))
+
+
 def overfetch_rerank(spark, sf):
-    nearest = S.neighbours(view(spark, sf, "near_queries_v"), view(spark, sf, "symbols_v"), view(spark, sf, "near_embeddings_v"))
+    nearest = S.neighbours(view(spark, sf, "near_queries_v"), view(spark, sf, "symbols_v"), view(spark, sf, "embeddings_v"))
     found = S.candidates(nearest, view(spark, sf, "symbols_v"))
     order = S.Window.partitionBy("query_id").orderBy("sort_distance", "distance", *lexical.ORDER)
     return found.withColumn("rank", F.row_number().over(order)).filter("rank <= 10").select(
@@ -96,9 +100,9 @@ def embed_documents(spark, sf):
 
 
 _LEX = Q.lexical_ctes()
-_NEAR = Q.lexical_ctes("near_queries_v") + "," + Q.semantic_ctes("near_queries_v", "near_embeddings_v")
+_NEAR = Q.lexical_ctes("near_queries_v") + "," + Q.semantic_ctes("near_queries_v", "embeddings_v")
 _VIEWS = ("queries_v", "symbols_v", "embeddings_v")
-_NEAR_VIEWS = ("near_queries_v", "symbols_v", "near_embeddings_v")
+_NEAR_VIEWS = ("near_queries_v", "symbols_v", "embeddings_v")
 _RANKED = f"""SELECT query_id, rank::INT AS rank, path, line, qualified_name, symbol_id, distance, sort_distance, lexical_score FROM (
  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {Q.SEMANTIC_ORDER}) AS rank FROM found"""
 _TOKENS = Q.query_tokens("text")
@@ -109,7 +113,8 @@ _KNN = f"""SELECT query_id, embedding_hash, distance, candidate_rank::INT AS can
  FROM vector_queries_v q, embeddings_v e) WHERE candidate_rank <= 10"""
 
 _AUTO = f"""{_NEAR},
-routed AS (SELECT query_id, mode, CASE WHEN mode IN ('lexical', 'semantic') THEN mode WHEN {_ROUTE} THEN 'lexical' ELSE 'semantic' END AS route FROM near_queries_v),
+modes AS (SELECT query_id, text, lower(trim(coalesce(nullif(trim(mode), ''), 'auto'))) AS mode FROM near_queries_v),
+routed AS (SELECT query_id, mode, CASE WHEN mode IN ('lexical', 'semantic') THEN mode WHEN {_ROUTE} THEN 'lexical' ELSE 'semantic' END AS route FROM modes WHERE mode IN ('auto', 'semantic', 'lexical')),
 kept AS (SELECT f.* FROM found f JOIN routed r ON f.query_id = r.query_id WHERE r.route = 'semantic' AND (f.distance <= {NEAR_CUT}
  OR (r.mode = 'auto' AND NOT EXISTS (SELECT 1 FROM found g WHERE g.query_id = f.query_id AND g.distance <= {NEAR_CUT})))),
 semantic AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {Q.SEMANTIC_ORDER}) AS rank FROM kept) WHERE rank <= 10),
@@ -127,6 +132,8 @@ QUERIES = {
     "semantic_search_uncut": (semantic_search_uncut, with_views(
         f"WITH {_LEX}, {Q.semantic_ctes('queries_v', 'embeddings_v')} {_RANKED}) WHERE rank <= 10", *_VIEWS)),
     "auto_search": (auto_search, with_views(f"WITH {_AUTO} SELECT * FROM auto", *_NEAR_VIEWS)),
+    "unknown_modes": (unknown_modes, with_views("""SELECT query_id, mode, 'unknown-mode' AS error FROM queries_v
+ WHERE lower(trim(coalesce(mode, ''))) NOT IN ('', 'auto', 'semantic', 'lexical')""", "queries_v")),
     "overfetch_rerank": (overfetch_rerank, with_views(f"""WITH {_NEAR} SELECT query_id, rank::INT AS rank, candidate_rank::INT AS candidate_rank, path, distance, sort_distance FROM (
  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sort_distance, distance, path, line, qualified_name, symbol_id) AS rank FROM found) WHERE rank <= 10""", *_NEAR_VIEWS)),
     "prefer_lexical": (prefer_lexical, """SELECT event_id::VARCHAR AS query_id, CASE WHEN event_id % 13 = 0 THEN FALSE WHEN event_id % 11 = 0 THEN TRUE

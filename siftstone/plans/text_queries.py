@@ -154,7 +154,7 @@ def route_queries(spark, sf):
     texts = view(spark, sf, "query_texts_v").select("query_id", "text").unionByName(
         view(spark, sf, "pages").select(F.concat(F.lit("u"), F.col("page_id").cast("string")).alias("query_id"), F.col("url").alias("text"))
     ).unionByName(view(spark, sf, "documents").select(
-        F.concat(F.lit("w"), F.col("doc_id").cast("string")).alias("query_id"), F.regexp_extract("text", r"[^ \n]+", 0).alias("text")))
+        F.concat(F.lit("w"), F.col("doc_id").cast("string")).alias("query_id"), "text"))
     return texts.select("query_id", X.prefers_lexical(F.col("text")).alias("prefers_lexical"))
 
 
@@ -251,5 +251,5 @@ SELECT token, variant, weight FROM ({Q.variants('toks')}) WHERE variant <> ''"""
  SELECT upper(p_type) AS name FROM part UNION SELECT p_brand FROM part UNION SELECT upper(p_name) FROM part UNION SELECT '' FROM part)"""),
     "relative_paths": (relative_paths, with_views(f"SELECT path, {_REL} AS relative FROM (SELECT DISTINCT path FROM paths_v)", "paths_v")),
     "route_queries": (route_queries, with_views(rf"""SELECT query_id, {_ROUTE} AS prefers_lexical FROM (SELECT query_id, text FROM query_texts_v UNION ALL SELECT concat('u', page_id), url FROM pages
- UNION ALL SELECT concat('w', doc_id), regexp_extract(text, '[^ \n]+', 0) FROM documents)""", "query_texts_v")),
+ UNION ALL SELECT concat('w', doc_id), text FROM documents)""", "query_texts_v")),
 }

@@ -36,18 +36,18 @@ FROM {documents}""",
     "embeddings_v": """
 SELECT md5(concat('doc|', CAST(vec_id AS string))) AS embedding_hash, 'local' AS provider, 'hash64' AS model_id,
        64 AS dim, embedding FROM {embeddings}""",
-    # The first 16 components lie close enough for the distance cut to matter.
-    "near_embeddings_v": (
-        """SELECT md5(concat('doc|', CAST(vec_id AS string))) AS embedding_hash, 'local' AS provider, 'hash64' AS model_id,
-       16 AS dim, slice(embedding, 1, 16) AS embedding FROM {embeddings}""",
-        """SELECT md5(concat('doc|', CAST(vec_id AS string))) AS embedding_hash, 'local' AS provider, 'hash64' AS model_id,
-       16 AS dim, embedding[1:16] AS embedding FROM {embeddings}"""),
+    # Vectors of a second model, twice as long.
+    "wide_embeddings_v": (
+        """SELECT md5(concat('doc|', CAST(vec_id AS string))) AS embedding_hash, 'local' AS provider, 'hash128' AS model_id,
+       128 AS dim, concat(embedding, reverse(embedding)) AS embedding FROM {embeddings}""",
+        """SELECT md5(concat('doc|', CAST(vec_id AS string))) AS embedding_hash, 'local' AS provider, 'hash128' AS model_id,
+       128 AS dim, list_concat(embedding, list_reverse(embedding)) AS embedding FROM {embeddings}"""),
     # Every vector is a query as well: all-pairs neighbours.
     "vector_queries_v": "SELECT vec_id AS query_id, embedding AS query_vector FROM {embeddings}",
     # Long passages, short names and code-like brands.
     "query_texts_v": """
 SELECT concat('b', CAST(item_id AS string)) AS query_id, text,
-       CASE item_id % 3 WHEN 0 THEN 'auto' WHEN 1 THEN 'semantic' ELSE 'lexical' END AS mode, item_id AS vec_id FROM {benchmark}
+       CASE CAST(item_id % 7 AS int) WHEN 0 THEN 'auto' WHEN 1 THEN ' Semantic' WHEN 2 THEN 'lexical' WHEN 3 THEN NULL WHEN 4 THEN 'LEXICAL ' WHEN 5 THEN 'semantic' ELSE 'fuzzy' END AS mode, item_id AS vec_id FROM {benchmark}
 UNION ALL SELECT concat('n', p_name), p_name, 'auto', min(p_partkey) FROM {part} GROUP BY p_name
 UNION ALL SELECT concat('c', p_brand), p_brand, 'auto', min(p_partkey) FROM {part} GROUP BY p_brand""",
     # A query's vector is a stored one read backwards, so it is nobody's copy.
@@ -56,10 +56,13 @@ UNION ALL SELECT concat('c', p_brand), p_brand, 'auto', min(p_partkey) FROM {par
 FROM {query_texts_v} q JOIN {embeddings} e ON q.vec_id = e.vec_id""",
         """SELECT q.query_id, q.text, q.mode, list_reverse(e.embedding) AS query_vector
 FROM {query_texts_v} q JOIN {embeddings} e ON q.vec_id = e.vec_id"""),
+    # Short blends of a stored vector and its reverse: many vectors lie closer than 1, so cut and weights matter.
     "near_queries_v": (
-        """SELECT q.query_id, q.text, q.mode, slice(reverse(e.embedding), 1, 16) AS query_vector
+        """SELECT q.query_id, q.text, q.mode, zip_with(e.embedding, reverse(e.embedding), (x, y) ->
+        CAST(CAST(x AS double) * (CASE WHEN q.vec_id % 4 = 0 THEN 0.0D ELSE 0.1D END) + CAST(y AS double) * 0.1D AS float)) AS query_vector
 FROM {query_texts_v} q JOIN {embeddings} e ON q.vec_id = e.vec_id""",
-        """SELECT q.query_id, q.text, q.mode, (list_reverse(e.embedding))[1:16] AS query_vector
+        """SELECT q.query_id, q.text, q.mode, list_transform(list_zip(e.embedding, list_reverse(e.embedding)), lambda p:
+        (p[1]::DOUBLE * (CASE WHEN q.vec_id % 4 = 0 THEN 0.0::DOUBLE ELSE 0.1::DOUBLE END) + p[2]::DOUBLE * 0.1::DOUBLE)::FLOAT) AS query_vector
 FROM {query_texts_v} q JOIN {embeddings} e ON q.vec_id = e.vec_id"""),
     # A user turn as the query and the turn after it as the symbol text.
     "turn_pairs_v": """
@@ -159,14 +162,15 @@ SELECT event_id, concat('repo', CAST(user_id % 8 AS string)) AS repo, concat('q'
        CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 90 END AS int) AS indexed_symbols,
        CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 9 END AS int) AS indexed_files
 FROM {events}""",
+    # Repositories share query ids.
     "hits_v": """
-SELECT concat('q', CAST(user_id AS string)) AS query_id, concat('repo', CAST(user_id % 8 AS string)) AS repo,
+SELECT concat('q', CAST(user_id % 37 AS string)) AS query_id, concat('repo', CAST(user_id % 8 AS string)) AS repo,
        CAST(event_id % 3 AS int) AS run, CAST(CAST(regexp_extract(props, '[0-9]+', 0) AS int) % 12 + 1 AS int) AS rank,
        concat('f', CAST(event_id % 20 AS string), '.txt') AS path, CAST(event_id % 7 + 1 AS int) AS line FROM {events}""",
     "labels_v": """
-SELECT DISTINCT concat('q', CAST(user_id AS string)) AS query_id, concat('repo', CAST(user_id % 8 AS string)) AS repo,
+SELECT DISTINCT concat('q', CAST(user_id % 37 AS string)) AS query_id, concat('repo', CAST(user_id % 8 AS string)) AS repo,
        concat('f', CAST(user_id % 20 AS string), '.txt:', CAST(user_id % 7 + 1 AS string)) AS expected_ref FROM {events}
-UNION SELECT concat('q', CAST(user_id AS string)), concat('repo', CAST(user_id % 8 AS string)),
+UNION SELECT concat('q', CAST(user_id % 37 AS string)), concat('repo', CAST(user_id % 8 AS string)),
        concat('f', CAST(user_id % 5 AS string), '.txt:', CAST(user_id % 7 + 1 AS string)) FROM {events}""",
     "suite_queries_v": """
 SELECT concat('suite', CAST(user_id % 3 AS string)) AS suite_id, concat('repo', CAST(user_id % 8 AS string)) AS repo, query_id, mode
@@ -208,12 +212,16 @@ SELECT s_name AS report, CASE CAST(s_nationkey % 4 AS int) WHEN 0 THEN 'windows'
     # Manifests of one repository per customer, here and as published.
     "manifests_v": """
 SELECT c_name AS repo, CAST(c_nationkey % 4 AS bigint) AS version, md5(concat('h', CAST(c_nationkey % 4 AS string))) AS indexing_hash,
-       CASE WHEN c_custkey % 5 = 0 THEN 'local' ELSE 'remote' END AS source,
+       CASE WHEN c_custkey % 5 = 0 THEN 'local' WHEN c_custkey % 5 = 1 THEN ' Remote ' ELSE 'remote' END AS source,
+       CAST(CASE WHEN c_custkey % 9 = 0 THEN 0 ELSE 1 END AS int) AS schema_version,
        CASE WHEN c_custkey % 7 = 0 THEN ' ' WHEN c_custkey % 7 = 1 THEN concat(' https://ci/', c_name) ELSE concat('https://ci/', c_name) END AS ci_url,
        c_custkey % 11 <> 0 AS has_index FROM {customer}""",
     "published_v": """
 SELECT c_name AS repo, CAST(CASE WHEN c_custkey % 4 = 0 THEN c_nationkey % 4 + 1 ELSE c_nationkey % 4 END AS bigint) AS version,
-       md5(concat('h', CAST(c_nationkey % 4 AS string))) AS indexing_hash FROM {customer} WHERE c_acctbal > 0""",
+       concat(CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE '' END, md5(concat('h', CAST(c_nationkey % 4 AS string)))) AS indexing_hash,
+       CAST(CASE WHEN c_custkey % 13 = 0 THEN 2 ELSE 1 END AS int) AS schema_version,
+       CASE WHEN c_custkey % 6 = 0 THEN NULL WHEN c_custkey % 6 = 1 THEN ' ' WHEN c_custkey % 6 = 2 THEN 'https://ci/moved' ELSE concat('https://ci/', c_name, ' ') END AS ci_url
+       FROM {customer} WHERE c_acctbal > 0""",
     # Logs as text.
     "hit_logs_v": """
 SELECT event_id AS run, CASE event_type WHEN 'error' THEN 'No matches found' WHEN 'signup' THEN concat('strange ', props)

@@ -53,7 +53,7 @@ def index_files(store: IndexStore, files: DataFrame, embedder: E.Embedder, dim:
     keyed = materialize(
         E.document_keys(extract_symbols(changed, search_prefix, context_prefix), provider, model), "extracted-symbols")
     vectors = E.embed_documents(E.embedding_misses(keyed, store.table("embeddings").filter(mine)), embedder, dim)
-    store.append("embeddings", materialize(vectors, "new-vectors"))
+    store.append("embeddings", vectors)
     snapshot = I.assemble_snapshot(reused, I.unique_symbols(I.symbol_rows(keyed, snapshot_id)))
     store.append("snapshot_symbols", snapshot)
 
@@ -85,6 +85,5 @@ def search_index(store: IndexStore, queries: DataFrame, embedder: E.Embedder, di
 
 def run_suite(expected: DataFrame, hits: DataFrame) -> DataFrame:
     """Quality per repository and over all, from ``expected(repo, query_id,
-    expected_ref)`` and ranked ``hits``."""
-    repos = expected.select("query_id", "repo").distinct()
-    return V.quality_rollup(V.score_queries(expected.select("query_id", "expected_ref"), hits).join(repos, "query_id"))
+    expected_ref)`` and the ranked ``hits`` of each repository's queries."""
+    return V.quality_rollup(V.score_queries(expected, hits))

@@ -44,7 +44,7 @@ def normalize_manifests(manifests: DataFrame) -> DataFrame:
     """Manifests with defaults filled in and texts trimmed."""
     url = F.trim("remote.ci_url")
     return manifests.withColumns({
-        "schema_version": F.when(F.coalesce("schema_version", F.lit(0)) == 0, 1).otherwise(F.col("schema_version")),
+        "schema_version": F.when(F.coalesce("schema_version", F.lit(0)) == 0, fixed.MANIFEST_SCHEMA_VERSION).otherwise(F.col("schema_version")),
         "version": F.greatest(F.coalesce("version", F.lit(0)), F.lit(0)).cast("long"),
         "indexing_hash": F.trim(F.coalesce("indexing_hash", F.lit(""))),
         "source": F.trim(F.lower(F.coalesce("source", F.lit("")))),

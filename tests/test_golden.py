@@ -11,9 +11,12 @@ from siftstone.functions import paths as P
 from siftstone.functions import text as X
 from siftstone.operators import evaluate as V
 from siftstone.operators import lexical
+from siftstone.operators import index as I
 from siftstone.operators import lines as L
+from siftstone.operators import search as S
 from siftstone.operators.extract import extract_symbols
 from siftstone.operators.search import prefer_lexical, sort_distance
+from siftstone.plans.workflows import run_suite
 from siftstone.sources import files, logs, rules, suites
 
 
@@ -104,6 +107,9 @@ def test_annotations(spark):
                          "// @search second comment", "func Second() {}"])
     df = spark.createDataFrame([("sample.txt", content), ("long.txt", "// @search: x\n" + "y" * (1 << 20))], "path string, content string")
     got = L.extract_annotations(df).orderBy("line").collect()
+    long = [r for r in got if r.path == "long.txt"]
+    assert len(long) == 1 and len(long[0].body) == 1 << 20
+    got = [r for r in got if r.path != "long.txt"]
     assert [(r.line, r.documentation, r.file_context) for r in got] == [
         (1, "file context", "file context"), (2, "first comment", "file context"), (5, "second comment", "file context")]
     assert got[1].body == "func First() {}\n// regular comment\n// @search second comment\nfunc Second() {}"
@@ -180,10 +186,11 @@ def test_display(spark):
 
 def test_scoring(spark):
     hits = spark.createDataFrame(
-        [("a", 1, "mux.go", 32), ("b", 1, "o.go", 1), ("b", 3, "mux.go", 32), ("c", 11, "mux.go", 32), ("d", 2, "b.go", 20)],
-        "query_id string, rank int, path string, line int")
+        [("r", "a", 1, "mux.go", 32), ("r", "b", 1, "o.go", 1), ("r", "b", 3, "mux.go", 32), ("r", "c", 11, "mux.go", 32), ("r", "d", 2, "b.go", 20)],
+        "repo string, query_id string, rank int, path string, line int")
     expected = spark.createDataFrame(
-        [("a", "mux.go:32"), ("b", "mux.go:32"), ("c", "mux.go:32"), ("d", "a.go:10"), ("d", "b.go:20"), ("e", "x:1")], "query_id string, expected_ref string")
+        [("r", "a", "mux.go:32"), ("r", "b", "mux.go:32"), ("r", "c", "mux.go:32"), ("r", "d", "a.go:10"), ("r", "d", "b.go:20"), ("r", "e", "x:1")],
+        "repo string, query_id string, expected_ref string")
     got = {r.query_id: (r.top1_success, r.top3_success, r.rr, r.observed_rank) for r in V.score_queries(expected, hits).collect()}
     assert got == {"a": (True, True, 1.0, 1), "b": (False, True, 1 / 3, 3), "c": (False, False, 0.0, 0),
                    "d": (False, True, 0.5, 2), "e": (False, False, 0.0, 0)}
@@ -250,3 +257,53 @@ def test_repository_scan(spark, tmp_path):
     scanned = files.scan_repository(spark, str(tmp_path), excludes=["deep/a/b/*.md"])
     listed = [r.path for r in files.hashed_files(scanned).collect()]
     assert listed == [".gitignore", "deep/a/b/c.txt", "keep.go", "pkg/__init__.py"]
+
+
+def test_repositories_share_query_ids(spark):
+    expected = spark.createDataFrame([("r1", "q1", "a.go:1"), ("r2", "q1", "a.go:1")], "repo string, query_id string, expected_ref string")
+    hits = spark.createDataFrame([("r1", "q1", 1, "a.go", 1)], "repo string, query_id string, rank int, path string, line int")
+    got = {r.repo: r.quality_score for r in run_suite(expected, hits).collect()}
+    assert got == {"r1": 100, "r2": 0, "": 50}
+
+
+def test_modes_are_read(spark):
+    rows = [("a", None), ("b", " AUTO "), ("c", "fuzzy"), ("d", "Lexical")]
+    queries = spark.createDataFrame([(q, "open store", m, [1.0, 0.0]) for q, m in rows], "query_id string, text string, mode string, query_vector array<float>")
+    symbol = {"path": "a.go", "symbol_id": "s", "line": 1, "kind": "function", "name": "openStore", "container": "", "qualified_name": "openStore", "signature": "open store",
+              "documentation": "", "body": "open store", "file_context": "", "embedding_hash": "h", "provider": "p", "model_id": "m"}
+    symbols = spark.createDataFrame([tuple(symbol.values())], ", ".join(f"{k} {'int' if k == 'line' else 'string'}" for k in symbol))
+    vectors = spark.createDataFrame([("h", "p", "m", 2, [1.0, 0.1])], "embedding_hash string, provider string, model_id string, dim int, embedding array<float>")
+    got = {r.query_id: r.metric for r in S.auto_search(queries, symbols, vectors, limit=0).collect()}
+    assert got["a"] == got["b"] and got["d"] == "lexical" and "c" not in got
+    assert [r.query_id for r in S.unknown_modes(queries).collect()] == ["c"]
+
+
+def test_manifest_refresh(spark):
+    columns = "repo string, schema_version int, version long, indexing_hash string, source string, ci_url string"
+    local = spark.createDataFrame([(x, s, 1, " h", " Remote", u, True) for x, s, u in (
+        ("same", 0, " u "), ("no-url", 1, "u"), ("moved", 1, "u"), ("schema", 1, "u"), ("gone", 1, "u"), ("blank", 1, " "))], columns + ", has_index boolean")
+    published = spark.createDataFrame([("same", 1, 1, "h", "", "u"), ("no-url", 0, 1, "h", "", " "), ("moved", 1, 1, "h ", "", "v"), ("schema", 2, 1, "h", "", "u"), ("blank", 1, 1, "h", "", "u")], columns)
+    got = {r.repo: r.action for r in I.reconcile_manifests(local, published).collect()}
+    assert got == {"same": "up-to-date", "no-url": "up-to-date", "moved": "metadata-refresh", "schema": "metadata-refresh", "gone": "keep-local", "blank": "unbound"}
+
+
+@pytest.mark.parametrize("path, content, found", [
+    ("a.py", "S = 'a ('\n\ndef later(x):\n    return x\n", [("S", None, None), ("later", "def later(x):", "return x")]),
+    ("b.py", "@cache\ndef deco():\n    return 1\n\n@frozen\nclass Gone:\n    def lost(self):\n        pass\n\nclass Kept:\n    @property\n    def hidden(self):\n        return 1\n"
+             "    def shown(self):\n        return 2\n", [("Kept", "class Kept:", None), ("shown", "def shown(self):", "return 2")]),
+    ("c.py", "def many(\n" + "".join(f"    a{i},\n" for i in range(15)) + "):\n    return 1\n", [("many", "def many(\n    a0,\n    a1,\n    a2,", "return 1")]),
+    ("d.py", 'def doc():\n    """text ( {\n    def inner(\n    """\n    return 1\n\ndef after():\n    pass\n', [("doc", "def doc():", None), ("after", "def after():", "pass")]),
+    ("a.go", "package a\n\nvar q = `one {\n two (`\n\nfunc After() int {\n\treturn '{'\n}\nfunc Last() {}\n", [("q", "q = `one {\n two (`", ""), ("After", "func After() int", None), ("Last", "func Last()", "{}")]),
+    ("b.go", "package b\n\nfunc Many(\n" + "".join(f"\ta{i} int,\n" for i in range(16)) + ") int {\n\treturn 1\n}\n", [("Many", "func Many(\n\ta0 int,\n\ta1 int,\n\ta2 int,", "{\n\treturn 1\n}")]),
+    ("a.js", "const re = /[({]/\nconst t = `a {\n ( \n`\nfunction later() {\n  return 1\n}\n", [("re", None, None), ("t", None, None), ("later", "function later()", "{\n  return 1\n}")]),
+    ("b.js", "function one() { return 1 }\n/* " + "x" * 1_100_000 + " */\nfunction two() { return 2 }\n", [("one", "function one()", "{ return 1 }"), ("two", "function two()", "{ return 2 }")]),
+    ("c.js", "function one() {\r\n  return \"(\"\r\n}\r\nfunction two() {}\r\n", [("one", "function one()", None), ("two", "function two()", "{}")]),
+    ("a.rs", 'const S: &str = r#"a { ( "#;\nfn f<\'a>(x: &\'a str) -> char { \'{\' }\npub enum E {\n    A,\n}\npub trait T {\n    fn m(&self);\n}\npub fn g() {}\n',
+     [("S", None, None), ("f", "fn f<'a>(x: &'a str) -> char", "{ '{' }"), ("E", "pub enum E", None), ("T", "pub trait T", None), ("m", None, None), ("g", "pub fn g()", "{}")]),
+])
+def test_literals_do_not_nest(spark, path, content, found):
+    got = extract_symbols(spark.createDataFrame([(path, content)], "path string, content string")).orderBy("line").collect()
+    assert [r.name for r in got] == [name for name, _, _ in found]
+    for row, (_, signature, body) in zip(got, found):
+        assert signature is None or row.signature == signature
+        assert body is None or row.body == body
