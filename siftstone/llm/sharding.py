@@ -85,7 +85,7 @@ def shard_groups(groups: DataFrame, shards: int, share: int = 512, cell_groups:
     return placed.select("group_key", "parts", "part", "shard").unionByName(rest)
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, slot_rows: int = 20_000) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, slot_rows: int = 20_000, exact_rows: int = 500) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` with sizes, tokens and rows near equal over the shards.
 
     The size of a document is its bytes in UTF-8 plus 8; a null text has none
@@ -101,10 +101,15 @@ def shard_documents(docs: DataFrame, shards: int = 24, slot_rows: int = 20_000)
         F.coalesce(words, F.lit(0)).cast("long").alias("tokens"), F.sha2(text, 256).alias("group_key")), "sizes")
     groups = materialize(rows.groupBy("group_key").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")), "groups")
     shard_of = materialize(shard_groups(groups, shards), "shards")
-    # The rows of a cut group are dealt evenly by their number in the written table.
     numbered = rows.withColumn("deal", F.xxhash64("doc_id", F.monotonically_increasing_id()))
-    parts = shard_of.filter("part = 0").select("group_key", "parts")
-    dealt = numbered.join(parts, "group_key").withColumn("part", F.pmod("deal", F.col("parts")).cast("int"))
+    # Rows of a cut group: parts of few rows are dealt in turn, in a window of bounded size; larger ones come out even by a hash.
+    cut = groups.join(shard_of.filter("part = 0").select("group_key", "parts"), "group_key").select("group_key", "parts", (F.col("rows") < exact_rows * F.col("parts")).alias("few"))
+    owned = numbered.join(cut, "group_key")
+    whole = owned.filter("parts = 1").withColumn("part", F.lit(0))
+    hashed = owned.filter("parts > 1 and not few").withColumn("part", F.pmod("deal", F.col("parts")).cast("int"))
+    turn = F.row_number().over(Window.partitionBy("group_key").orderBy("deal", "doc_id"))
+    in_turn = owned.filter("parts > 1 and few").withColumn("part", F.pmod(turn, F.col("parts")).cast("int"))
+    dealt = whole.unionByName(hashed).unionByName(in_turn)
     placed = dealt.join(shard_of.drop("parts"), ["group_key", "part"])
     cells = max(1, -(-rows.count() // slot_rows))
     placed = materialize(placed.select("doc_id", "size", "text_crc32", "shard", "deal", F.pmod("deal", F.lit(cells)).alias("cell")), "placed")
