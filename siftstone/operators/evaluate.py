@@ -229,3 +229,37 @@ def tool_report(results: DataFrame, expected: DataFrame) -> tuple[DataFrame, Dat
     times = results.select("repo", "query_id", "run", "duration_ms").distinct().groupBy("repo", "query_id").agg(
         F.avg("duration_ms").alias("warm_search_mean_ms"))
     return scored, times
+
+
+def nested_report(queries: DataFrame, hits: DataFrame, searches: DataFrame, index_runs: DataFrame) -> DataFrame:
+    """The report of a suite run, a row per repository with its queries and runs inside.
+
+    ``queries(repo, query_id, text, mode, expected_hits)``, ``hits(repo,
+    query_id, run, rank, path, line)``, ``searches(repo, query_id, run,
+    duration_ms)``, ``index_runs(repo, run_kind, run_no, duration_ms,
+    indexed_symbols, indexed_files)``. Totals come from :func:`quality_rollup`
+    and :func:`timing_means`; they stay tables of their own.
+    """
+    listed = lambda *columns: F.array_sort(F.collect_list(F.struct(*columns)))
+    hit = F.when(F.col("rank").isNotNull(), F.struct("rank", "path", "line"))
+    runs = searches.join(hits.select(*QUERY, "run", "rank", "path", "line"), [*QUERY, "run"], "left").groupBy(*QUERY, "run").agg(
+        F.min("duration_ms").alias("duration_ms"), F.array_sort(F.collect_list(hit)).alias("hits"))
+    per_query = runs.groupBy(*QUERY).agg(listed("run", "duration_ms", "hits").alias("runs"), F.avg("duration_ms").alias("mean_ms"), F.min("run").alias("first_run"))
+    expected = queries.select(*QUERY, F.explode("expected_hits").alias("expected_ref"))
+    firsts = hits.join(per_query.select(*QUERY, F.col("first_run").alias("run")), [*QUERY, "run"])
+    scored = score_queries(expected, firsts)
+    top = first_top_hit(per_query.select(*QUERY, "first_run"), hits)
+    whole = queries.join(per_query.drop("first_run"), QUERY, "left").join(scored, QUERY, "left").join(
+        top.select(*QUERY, F.struct("path", "line").alias("top_hit")), QUERY, "left")
+    entry = F.struct(F.col("query_id").alias("id"), "text", query_mode(F.col("mode")).alias("mode"), "expected_hits", "runs",
+                     F.coalesce("mean_ms", F.lit(0.0)).alias("warm_search_mean_ms"), F.when(F.col("top_hit.path").isNotNull(), F.col("top_hit")).alias("top_hit"),
+                     "top1_success", "top3_success", "rr", "observed_rank")
+    repos = whole.groupBy("repo").agg(F.array_sort(F.collect_list(entry)).alias("queries"), F.count(F.lit(1)).alias("query_count"), *_quality())
+    index_run = listed("run_no", "duration_ms", "indexed_symbols", "indexed_files").alias("runs")
+    kinds = [index_runs.filter(F.col("run_kind") == kind).groupBy("repo").agg(index_run).withColumnRenamed("runs", f"{kind}_runs") for kind in ("cold_index", "warm_index")]
+    times = timing_means(index_runs.select("repo", "run_kind", "duration_ms").unionByName(
+        searches.select("repo", F.lit("warm_search").alias("run_kind"), "duration_ms"))).filter(~F.col("is_total")).drop("is_total")
+    last = latest_index_run(index_runs).select("repo", F.col("indexed_symbols").alias("last_indexed_symbols"), F.col("indexed_files").alias("last_indexed_files"))
+    for table in (*kinds, times, last):
+        repos = repos.join(table, "repo", "left")
+    return repos

@@ -89,6 +89,13 @@ def next_id(table: DataFrame, column: str) -> int:
     return int(table.agg(F.coalesce(F.max(column), F.lit(0))).first()[0]) + 1
 
 
+def stage_state(listed: DataFrame, owner: DataFrame, version: int, fingerprint: str) -> tuple[DataFrame, DataFrame]:
+    """Header and file rows of a new file state; it is not active before its pointer moves."""
+    number = F.lit(version).cast("long").alias("state_version")
+    header = owner.select(number, *OWNER, F.lit(fingerprint).alias("scanner_fingerprint"), F.current_timestamp().alias("created_at"))
+    return header, listed.select(number, "path", "content_hash")
+
+
 def activate_pointers(pointers: DataFrame, updates: DataFrame, column: str = "snapshot_id") -> DataFrame:
     """Pointer table after an upsert per provider and model."""
     both = pointers.select(*OWNER, column, F.lit(0).alias("age")).unionByName(
@@ -163,17 +170,24 @@ def state_matches(listed: DataFrame, state: DataFrame, same_fingerprint: Column
 
 DIGEST_FIELDS = ["provider", "model_id", "path", "line", "symbol_id", "kind", "name", "container", "qualified_name",
                  "signature", "documentation", "body", "embedding_hash"]
-DIGEST_PIECES, PIECE = 10, 6
+DIGEST_PIECES, PIECE = 16, 4
 
 
 def row_digest() -> Column:
     """Digest of one active row: each field with its length, then the vector
-    in fixed point (exact for any single-precision number above 2^-16)."""
+    in fixed point, which is exact for any single-precision number below 2^23."""
     parts = []
     for name in DIGEST_FIELDS:
         text = F.col(name).cast("string")
         parts += [F.octet_length(text).cast("string"), F.lit(":"), text]
-    vector = F.array_join(F.transform("embedding", lambda x: F.floor(x.cast("double") * 1099511627776.0).cast("string")), ",")
+
+    def exact(value: Column) -> Column:
+        # Scaling by a power of two loses nothing, nor does taking the whole part away.
+        scaled = value.cast("double") * float(1 << 40)
+        rest = (scaled - F.floor(scaled)) * float(1 << 55)
+        return F.concat_ws(".", *(F.floor(x).cast("string") for x in (scaled, rest, (rest - F.floor(rest)) * float(1 << 55))))
+
+    vector = F.array_join(F.transform("embedding", exact), ",")
     return F.sha2(F.concat(*parts, vector), 256)
 
 

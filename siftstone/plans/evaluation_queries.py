@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import metrics as M
 from ..operators import evaluate as V
+from ..session import scratch_dir
+from ..sources import suites as suites_source
+from . import workflows
 from .views import view, with_views
 
 
@@ -89,6 +95,52 @@ def validate_suite(spark, sf):
     return V.validate_suite(view(spark, sf, "suite_rows_v"))
 
 
+def run_suite(spark, sf):
+    return _rounded(workflows.run_suite(view(spark, sf, "labels_v"), view(spark, sf, "hits_v").filter("run = 0")))
+
+
+def _tool_results(spark, sf):
+    return view(spark, sf, "hits_v").withColumn("duration_ms", (F.col("run") * 10 + F.length("query_id") + F.length("repo")).cast("double"))
+
+
+def tool_report(spark, sf):
+    """Another tool's rows: scores of its first run and mean times of all."""
+    scored, times = V.tool_report(_tool_results(spark, sf), view(spark, sf, "labels_v"))
+    return scored.join(times, V.QUERY, "left").withColumns({name: F.round(name, 9) for name in ("rr", "warm_search_mean_ms")})
+
+
+def suite_source(spark, sf):
+    """Suites nested as their files are, read back as one row per query."""
+    hits = view(spark, sf, "labels_v").groupBy("repo", "query_id").agg(F.array_sort(F.collect_list("expected_ref")).alias("expected_hits"))
+    query = F.struct(F.col("query_id").alias("id"), F.concat("repo", F.lit(" "), "query_id").alias("text"), F.lit("auto").alias("mode"), "expected_hits")
+    repos = hits.groupBy("repo").agg(F.array_sort(F.collect_list(query)).alias("queries"))
+    repo = F.struct(F.col("repo").alias("id"), F.concat(F.lit("https://"), "repo").alias("url"), F.md5("repo").alias("commit"), F.lit("go").alias("language"), "queries")
+    suites = repos.withColumn("suite_id", F.concat(F.lit("suite"), F.substring("repo", -1, 1).cast("int") % 3)).groupBy("suite_id").agg(
+        F.lit(1).alias("suite_version"), F.first("suite_id").alias("name"), F.lit("").alias("description"), F.array_sort(F.collect_list(repo)).alias("repositories"))
+    path = f"{scratch_dir(spark)}/suites-{uuid.uuid4().hex}"
+    suites.write.json(path)
+    nested = spark.read.schema(schemas.SUITE).json(path)
+    return suites_source.suite_rows(nested).withColumn("expected_hits", F.concat_ws(",", "expected_hits"))
+
+
+def nested_report(spark, sf):
+    """The nested report written as JSON, read back and counted level by level."""
+    hits = view(spark, sf, "hits_v")
+    queries = view(spark, sf, "labels_v").groupBy("repo", "query_id").agg(F.array_sort(F.collect_list("expected_ref")).alias("expected_hits")).select(
+        "repo", "query_id", F.col("query_id").alias("text"), F.lit("auto").alias("mode"), "expected_hits")
+    searches = _tool_results(spark, sf).select("repo", "query_id", "run", "duration_ms").distinct()
+    runs = view(spark, sf, "runs_v").filter("run_kind <> 'warm_search'").withColumn("run_no", F.col("event_id"))
+    report = V.nested_report(queries, hits, searches, runs)
+    path = f"{scratch_dir(spark)}/report-{uuid.uuid4().hex}"
+    suites_source.write_report(report, path)
+    back = spark.read.schema(report.schema).json(path)
+    count = lambda column: F.aggregate(column, F.lit(0), lambda total, x: total + x)
+    inner = F.transform("queries", lambda q: count(F.transform(q["runs"], lambda r: F.size(r["hits"]))))
+    return _rounded(back.select("repo", "query_count", "top1", "top3", "mrr", "quality_score", F.size("queries").alias("queries"),
+                                count(F.transform("queries", lambda q: F.size(q["runs"]))).alias("runs"), count(inner).alias("hits"),
+                                F.coalesce(F.size("cold_index_runs"), F.lit(0)).alias("cold_runs"), F.round("warm_search_mean_ms", 9).alias("warm_search_mean_ms"), "last_indexed_symbols"))
+
+
 _SCORED = """ranked AS (SELECT l.query_id, l.repo, coalesce(min(h.rank), 0) AS r FROM labels_v l LEFT JOIN hits_v h
  ON h.repo = l.repo AND h.query_id = l.query_id AND concat(h.path, ':', h.line) = l.expected_ref AND h.rank <= 10 AND h.run = 0 GROUP BY l.query_id, l.repo),
 scored AS (SELECT query_id, repo, r = 1 AS top1_success, r BETWEEN 1 AND 3 AS top3_success, CASE WHEN r > 0 THEN 1.0::DOUBLE / r ELSE 0 END AS rr, r::INT AS observed_rank FROM ranked)"""
@@ -99,7 +151,24 @@ _MODE = "CASE WHEN lower(trim(mode)) IN ('', 'auto') THEN 'auto' WHEN lower(trim
 _MODES = "string_agg(concat(m, '=', n), ' ' ORDER BY CASE m WHEN 'auto' THEN 0 WHEN 'semantic' THEN 1 WHEN 'lexical' THEN 2 ELSE 3 END, m)"
 _MS = lambda x: f"CASE WHEN {x} >= 1000 THEN printf('%.2fs', {x} / 1000) ELSE printf('%.2fms', {x}) END"
 
+_ROLLUP = f"""WITH {_SCORED} SELECT repo, FALSE AS is_total, count(*) AS query_count, {_QUALITY} FROM scored GROUP BY repo
+ UNION ALL SELECT '', TRUE, count(*), {_QUALITY} FROM scored"""
+
 QUERIES = {
+    "run_suite": (run_suite, with_views(_ROLLUP, *_LABELLED)),
+    "tool_report": (tool_report, with_views(f"""WITH {_SCORED}, times AS (SELECT repo, query_id, avg(d) AS ms FROM (SELECT DISTINCT repo, query_id, run, (run * 10 + length(query_id) + length(repo))::DOUBLE AS d FROM hits_v) GROUP BY ALL)
+ SELECT s.repo, s.query_id, top1_success, top3_success, round(rr, 9) AS rr, observed_rank, round(ms, 9) AS warm_search_mean_ms FROM scored s LEFT JOIN times t ON t.repo = s.repo AND t.query_id = s.query_id""", *_LABELLED)),
+    "nested_report": (nested_report, with_views(f"""WITH {_SCORED.replace("AND h.run = 0", "AND h.run = (SELECT min(run) FROM hits_v f WHERE f.repo = l.repo AND f.query_id = l.query_id)")},
+ s AS (SELECT DISTINCT repo, query_id, run, (run * 10 + length(query_id) + length(repo))::DOUBLE AS d FROM hits_v),
+ i AS (SELECT repo, indexed_symbols, row_number() OVER (PARTITION BY repo ORDER BY (indexed_symbols > 0 OR indexed_files > 0) DESC, (run_kind = 'warm_index') DESC, event_id DESC) AS place
+       FROM runs_v WHERE run_kind IN ('cold_index', 'warm_index'))
+ SELECT x.repo, count(*) AS query_count, {_QUALITY}, count(*)::INT AS queries, (SELECT count(*) FROM s WHERE s.repo = x.repo)::INT AS runs, (SELECT count(*) FROM hits_v h WHERE h.repo = x.repo)::INT AS hits,
+ (SELECT count(*) FROM runs_v r WHERE r.repo = x.repo AND run_kind = 'cold_index')::INT AS cold_runs, round((SELECT avg(d) FROM s WHERE s.repo = x.repo), 9) AS warm_search_mean_ms,
+ (SELECT indexed_symbols FROM i WHERE i.repo = x.repo AND place = 1) AS last_indexed_symbols FROM scored x GROUP BY x.repo""", *_LABELLED, "runs_v")),
+    "suite_source": (suite_source, with_views("""WITH q AS (SELECT repo, query_id, string_agg(expected_ref, ',' ORDER BY expected_ref) AS expected_hits FROM labels_v GROUP BY ALL),
+ n AS (SELECT *, concat('suite', right(repo, 1)::INT % 3) AS suite_id FROM q)
+ SELECT suite_id, 1::INT AS suite_version, suite_id AS suite_name, (dense_rank() OVER (PARTITION BY suite_id ORDER BY repo) - 1)::INT AS repo_at, repo, concat('https://', repo) AS url, md5(repo) AS commit, 'go' AS language,
+ (row_number() OVER (PARTITION BY repo ORDER BY query_id) - 1)::INT AS query_at, query_id, concat(repo, ' ', query_id) AS text, 'auto' AS mode, expected_hits FROM n""", "labels_v")),
     "score_queries": (score_queries, with_views(f"WITH {_SCORED} SELECT query_id, repo, top1_success, top3_success, round(rr, 9) AS rr, observed_rank FROM scored", *_LABELLED)),
     "aggregate_quality": (aggregate_quality, with_views(f"WITH {_SCORED} SELECT {_QUALITY} FROM scored", *_LABELLED)),
     "quality_rollup": (quality_rollup, with_views(f"""WITH {_SCORED} SELECT repo, FALSE AS is_total, count(*) AS query_count, {_QUALITY} FROM scored GROUP BY repo

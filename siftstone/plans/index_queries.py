@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import index as I
 from ..session import scratch_dir
+from ..sources import rules
 from ..sources.tables import IndexStore
 from .views import view, with_views
 
@@ -163,6 +164,28 @@ def write_read_index(spark, sf):
     return I.embedding_symbols(symbols, vectors).select("snapshot_id", "path", "symbol_id", F.md5("body").alias("body"), F.size("embedding").alias("dim"))
 
 
+def begin_snapshot(spark, sf):
+    """The number the next snapshot of each model would get."""
+    symbols = view(spark, sf, "snapshot_symbols_v")
+    return symbols.groupBy("provider", "model_id").agg(F.max("snapshot_id").alias("last")).withColumn("next_id", F.lit(I.next_id(symbols, "snapshot_id")))
+
+
+def stage_state(spark, sf):
+    listed, owner = view(spark, sf, "files_v").select("path", "content_hash"), spark.createDataFrame([("local", "en")], "provider string, model_id string")
+    header, files = I.stage_state(listed, owner, I.next_id(view(spark, sf, "hash_states_v"), "state_version"), "fp")
+    return files.join(header.drop("created_at"), "state_version")
+
+
+def manifest_source(spark, sf):
+    """Manifests written as files and read back, normalised."""
+    import uuid
+
+    path = f"{scratch_dir(spark)}/manifests-{uuid.uuid4().hex}"
+    rules.write_manifests(view(spark, sf, "manifests_v").select("schema_version", "version", "indexing_hash", "source", F.struct("ci_url").alias("remote")), path)
+    good, _ = rules.read_manifests(spark, path, lines=True)
+    return good.select("schema_version", "version", "indexing_hash", "source", F.coalesce("remote.ci_url", F.lit("")).alias("ci_url"))
+
+
 _ACTIVE = "s.provider = p.provider AND s.model_id = p.model_id AND s.snapshot_id = p.snapshot_id"
 _E = "s.provider = e.provider AND s.model_id = e.model_id AND s.embedding_hash = e.embedding_hash"
 _IDX = ("snapshot_symbols_v", "pointers_v", "model_embeddings_v")
@@ -170,9 +193,16 @@ _SAME = "SELECT f.path FROM files_v f JOIN prev_files_v p ON f.path = p.path AND
 _FILES = ("files_v", "prev_files_v", "snapshot_symbols_v")
 _FIELDS = ["s.provider", "s.model_id", "s.path", "s.line", "s.symbol_id", "s.kind", "s.name", "s.container", "s.qualified_name", "s.signature", "s.documentation", "s.body", "s.embedding_hash"]
 _ROW = ", ".join(f"strlen({f}::VARCHAR), ':', {f}::VARCHAR" for f in _FIELDS)
-_SUMS = ", '|', ".join(f"sum(('0x' || substr(d, {at * 6 + 1}, 6))::BIGINT)" for at in range(10))
+_SCALED = "(x::DOUBLE * 1099511627776::DOUBLE)"
+_REST = f"(({_SCALED} - floor({_SCALED})) * 36028797018963968::DOUBLE)"
+_EXACT = f"concat(floor({_SCALED})::BIGINT, '.', floor({_REST})::BIGINT, '.', floor(({_REST} - floor({_REST})) * 36028797018963968::DOUBLE)::BIGINT)"
+_SUMS = ", '|', ".join(f"sum(('0x' || substr(d, {at * 4 + 1}, 4))::BIGINT)" for at in range(16))
 
 QUERIES = {
+    "begin_snapshot": (begin_snapshot, with_views("SELECT provider, model_id, max(snapshot_id) AS last, (SELECT max(snapshot_id) + 1 FROM snapshot_symbols_v)::INT AS next_id FROM snapshot_symbols_v GROUP BY ALL", "snapshot_symbols_v")),
+    "stage_state": (stage_state, with_views("""SELECT f.path, f.content_hash, (SELECT max(state_version) + 1 FROM hash_states_v)::BIGINT AS state_version, 'local' AS provider, 'en' AS model_id, 'fp' AS scanner_fingerprint FROM files_v f""",
+                                            "files_v", "hash_states_v")),
+    "manifest_source": (manifest_source, with_views("""SELECT greatest(schema_version, 1)::INT AS schema_version, version, trim(indexing_hash) AS indexing_hash, lower(trim(source)) AS source, trim(ci_url) AS ci_url FROM manifests_v""", "manifests_v")),
     "list_current_symbols": (list_current_symbols, with_views(f"""SELECT s.provider, s.model_id, s.snapshot_id, s.path, s.line, s.symbol_id, s.qualified_name, md5(s.body) AS body
  FROM snapshot_symbols_v s JOIN pointers_v p ON {_ACTIVE}""", *_IDX[:2])),
     "list_model_symbols": (list_model_symbols, with_views(f"SELECT s.snapshot_id, s.path, s.line, s.symbol_id FROM snapshot_symbols_v s JOIN pointers_v p ON {_ACTIVE} WHERE s.model_id = 'en'", *_IDX[:2])),
@@ -186,7 +216,7 @@ QUERIES = {
     "index_run_counts": (index_run_counts, with_views(f"""SELECT count(DISTINCT path) AS indexed_files, count(*) AS indexed_symbols, count(DISTINCT path) FILTER (path IN ({_SAME})) AS reused_files,
  count(*) FILTER (path IN ({_SAME})) AS reused_symbols FROM snapshot_symbols_v""", *_FILES)),
     "logical_digest": (logical_digest, with_views(f"""SELECT provider, model_id, count(*) AS row_count, sha256(concat(count(*), '|', {_SUMS})) AS digest FROM (
- SELECT s.provider, s.model_id, sha256(concat({_ROW}, array_to_string(list_transform(e.embedding, lambda x: floor(x::DOUBLE * 1099511627776)::BIGINT), ','))) AS d
+ SELECT s.provider, s.model_id, sha256(concat({_ROW}, array_to_string(list_transform(e.embedding, lambda x: {_EXACT}), ','))) AS d
  FROM snapshot_symbols_v s JOIN pointers_v p ON {_ACTIVE} JOIN model_embeddings_v e ON {_E}) GROUP BY provider, model_id""", *_IDX)),
     "index_status": (index_status, with_views(f"""SELECT 'local' AS provider, m.lang AS model_id, p.snapshot_id IS NOT NULL AS index_present, CASE WHEN m.lang = 'es' THEN 0 ELSE 3 END::BIGINT AS manifest_version,
  CASE WHEN m.lang = 'es' THEN '' ELSE 'remote' END AS manifest_source, count(s.path) AS symbols, count(DISTINCT s.path) AS files FROM (SELECT DISTINCT lang FROM documents) m

@@ -44,6 +44,14 @@ def path_weights(spark, sf):
     return view(spark, sf, "paths_v").distinct().select("path", P.path_weight(F.col("path")).alias("weight"))
 
 
+#: A caller's own path rules.
+OWN_WEIGHTS = {"src/**": 0.5, "vendor/**": 0.25}
+
+
+def own_path_weights(spark, sf):
+    return view(spark, sf, "symbols_v").select("doc_id", P.path_weight(F.col("path"), OWN_WEIGHTS).alias("weight"))
+
+
 def semantic_sort_distance(spark, sf):
     rows = view(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 40).alias("d"),
                                               (F.col("l_discount") * 11).alias("w"))
@@ -203,6 +211,7 @@ _LIT = "replace(literal, chr(13) || chr(10), chr(10))"
 _UNQUOTED = """CASE WHEN turn % 5 = 0 OR turn % 5 = 1 THEN literal[4:-4] WHEN turn % 5 IN (2, 3) THEN literal[2:-2] ELSE literal END"""
 
 QUERIES = {
+    "own_path_weights": (own_path_weights, with_views("""SELECT doc_id, CASE WHEN starts_with(path, 'vendor/') THEN 0.25::DOUBLE WHEN starts_with(path, 'src/') THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM symbols_v""", "symbols_v")),
     "normalize_text": (normalize_text, f"SELECT doc_id, md5({_N('text')}) AS text_digest, length({_N('text')})::INT AS chars FROM documents"),
     "query_tokens": (query_tokens, with_views(
         f"SELECT query_id, unnest(range(1, len(tokens) + 1))::INT AS token_no, unnest(tokens) AS token FROM (SELECT query_id, {Q.query_tokens('text')} AS tokens FROM query_texts_v)", "query_texts_v")),

@@ -59,18 +59,26 @@ def index_files(store: IndexStore, files: DataFrame, embedder: E.Embedder, dim:
 
     store.write_pointers("current_snapshots", I.activate_pointers(pointers, owner))
     version = max(store.next_id("hash_states", "state_version"), store.next_id("state_files", "state_version"))
-    header = owner.select(F.lit(version).cast("long").alias("state_version"), "provider", "model_id")
-    store.append("hash_states", header.select("*", F.lit(fingerprint).alias("scanner_fingerprint"),
-                                              F.current_timestamp().alias("created_at")))
-    store.append("state_files", listed.withColumn("state_version", F.lit(version).cast("long")))
+    header, staged = I.stage_state(listed, owner, version, fingerprint)
+    store.append("hash_states", header)
+    store.append("state_files", staged)
     store.write_pointers("current_states", I.activate_pointers(
         store.pointers("current_states"), header, "state_version"))
     written = store.table("snapshot_symbols").filter(mine & (F.col("snapshot_id") == snapshot_id))
     counts = materialize(I.index_run_counts(written, unchanged), "run-counts")
     store.vacuum()
+    store.vacuum_embeddings(provider, model_id)
     return counts
 
 
+def publish_digest(store: IndexStore, manifests: DataFrame, repo: str, provider: str = fixed.DEFAULT_PROVIDER, model_id: str = fixed.DEFAULT_MODEL) -> DataFrame:
+    """The manifest of ``repo`` after an index run: next version, digest of the active content, local again."""
+    symbols = I.current_symbols(store.table("snapshot_symbols"), store.pointers(), provider, model_id)
+    mine = (F.col("provider") == provider) & (F.col("model_id") == model_id)
+    digest = I.logical_digest(symbols.join(store.table("embeddings").filter(mine), I.HASH)).select(F.lit(repo).alias("repo"), "digest")
+    return I.bump_manifests(manifests, digest)
+
+
 def search_index(store: IndexStore, queries: DataFrame, embedder: E.Embedder, dim: int, provider: str = fixed.DEFAULT_PROVIDER,
                  model: str = fixed.DEFAULT_MODEL, weights: Mapping[str, float] | None = None,
                  limit: int = fixed.DEFAULT_LIMIT, max_distance: float = fixed.DEFAULT_MAX_DISTANCE) -> DataFrame:

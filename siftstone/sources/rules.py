@@ -59,12 +59,16 @@ def manifest_errors(manifests: DataFrame) -> DataFrame:
     return manifests.withColumn("error", error).filter(F.col("error").isNotNull())
 
 
-def read_manifests(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
-    """Normalised manifests with their file, and the ones in error."""
-    raw = spark.read.schema(schemas.MANIFESTS).json(list(paths), multiLine=True).withColumn("file", F.input_file_name())
+def read_manifests(spark: SparkSession, *paths: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Normalised manifests with their file, and the ones in error.
+
+    A file holds one manifest, or one a line as :func:`write_manifests` has it.
+    """
+    raw = spark.read.schema(schemas.MANIFESTS).json(list(paths), multiLine=not lines).withColumn("file", F.input_file_name())
     manifests = normalize_manifests(raw)
     errors = manifest_errors(manifests)
-    return manifests.join(errors.select("file"), "file", "left_anti"), errors
+    known = (F.col("schema_version") > 0) & F.col("source").isin("", "local", "remote")
+    return manifests.filter(known), errors
 
 
 def write_manifests(manifests: DataFrame, path: str) -> None:

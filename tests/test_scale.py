@@ -131,6 +131,13 @@ def test_incremental_equals_full(spark, tmp_path):
         s.table("snapshot_symbols"), s.pointers(), s.table("embeddings"))).first()
     assert digest(store) == digest(full) and digest(full).row_count == 5
     assert store.table("snapshot_symbols").select("snapshot_id").distinct().count() == 1
+    # Headers and vectors that nothing uses are gone too, and the manifest moves on.
+    assert store.table("snapshots").count() == 1 and store.table("hash_states").count() == 1
+    assert store.table("embeddings").count() == full.table("embeddings").count()
+    manifests = spark.createDataFrame([("mine", 4), ("other", 1)], "repo string, version long")
+    provider, model = store.pointers().select("provider", "model_id").first()
+    moved = workflows.publish_digest(store, manifests, "mine", provider, model).collect()
+    assert [(r.repo, r.version, r.indexing_hash, r.source) for r in moved] == [("mine", 5, digest(full).digest, "local")]
 
     queries = spark.createDataFrame([("q1", "extra", "lexical"), ("q2", "return the number two please", "auto")], "query_id string, text string, mode string")
     hits = workflows.search_index(store, queries, embed.hashing_embedder(16), 16).orderBy("query_id", "rank").collect()
