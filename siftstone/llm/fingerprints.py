@@ -224,11 +224,11 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     done = materialize(ranged.select("doc_id", "text").mapInArrow(_in_order, f"{DDL}, edge string, task int, edge_id long, edge_text string"), "fingerprints")
-    # Two rows per task: the last row of a task goes before the first of the next that has any.
+    # Two rows per task. Which task comes next is found among their numbers; texts are joined to them.
     edges = done.filter("edge is not null").select("edge", "task", F.col("edge_id").alias("doc_id"), F.col("edge_text").alias("text"))
-    along = Window.orderBy("task", "edge")
-    heads = edges.filter("edge = 'first'")
-    front = heads.agg(F.min_by("text", "task").alias("front"))
-    pairs = edges.withColumn("following", F.lead("text").over(along)).filter("edge = 'last'").crossJoin(F.broadcast(front))
-    ended = pairs.select("doc_id", "text", F.coalesce("following", "front").alias("following")).mapInArrow(_at_edges, DDL)
+    heads, tails = edges.filter("edge = 'first'"), edges.filter("edge = 'last'")
+    tasks, front = Window.orderBy("task"), Window.partitionBy()
+    after = heads.select("task", F.coalesce(F.lead("task").over(tasks), F.min("task").over(front)).alias("next_task"))
+    first = heads.select(F.col("task").alias("next_task"), F.col("text").alias("following"))
+    ended = tails.join(after, "task").join(first, "next_task").select("doc_id", "text", "following").mapInArrow(_at_edges, DDL)
     return done.filter("edge is null").select(RESULT.names).unionByName(ended)
