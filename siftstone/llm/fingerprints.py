@@ -32,12 +32,13 @@ PARAGRAPH = re.compile(r"[^\n.,;:!?]*[.,;:!?]+|[^\n.,;:!?]+")
 #: A piece of more characters is cut after about every eighth word.
 LONG, EVERY = 160, 8
 #: Cells of a stored fingerprint; a multiple of 3. Each retry has GROWTH times as many.
-CELLS, GROWTH = 12, 4
+CELLS, GROWTH = 12, 8
 CELL = np.dtype([("count", "<i4"), ("key", "<u8"), ("check", "<u4")])
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], "u8")
 
 
 def paragraphs(text: str) -> Iterator[str]:
+    """Pieces of a text, blank ones included."""
     for piece in PARAGRAPH.findall(text):
         if len(piece) <= LONG:
             yield piece
@@ -51,11 +52,22 @@ def paragraphs(text: str) -> Iterator[str]:
         yield " ".join(held)
 
 
-def digests(text: str) -> list[int]:
-    """64-bit digests of the paragraphs; the second and later copies of one get digests of their own."""
+def digests(text: str, known: dict[str, int] | None = None) -> list[int]:
+    """64-bit digests of the paragraphs; the second and later copies of one get digests of their own.
+
+    ``known`` remembers digests from text to text.
+    """
     import xxhash
 
-    found = [xxhash.xxh64_intdigest(x.strip().encode("utf-8", "surrogatepass")) for x in paragraphs(text) if x and not x.isspace()]
+    known = {} if known is None else known
+    found = []
+    for piece in paragraphs(text):
+        digest = known.get(piece)
+        if digest is None:
+            plain = piece.strip()
+            digest = known[piece] = xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass")) if plain else -1
+        if digest >= 0:
+            found.append(digest)
     if len(set(found)) == len(found):
         return found
     seen: Counter[int] = Counter()
@@ -76,87 +88,109 @@ def _check(keys: np.ndarray) -> np.ndarray:
     return (_mixed(keys, 3) >> np.uint64(32)).astype("u4")
 
 
-def _add(table: np.ndarray, owners: np.ndarray, keys: np.ndarray, signs: np.ndarray, cells: int) -> None:
-    checks = _check(keys)
-    part = cells // 3
-    for k in range(3):
-        at = owners * cells + k * part + (_mixed(keys, k) % np.uint64(part)).astype("i8")
-        np.add.at(table["count"], at, signs)
-        np.bitwise_xor.at(table["key"], at, keys)
-        np.bitwise_xor.at(table["check"], at, checks)
+class Cells:
+    """Rows of cells, as three flat arrays: counts, XOR of digests, XOR of their checks."""
 
+    def __init__(self, rows: int, cells: int) -> None:
+        self.cells = cells
+        self.count, self.key, self.check = np.zeros(rows * cells, "i4"), np.zeros(rows * cells, "u8"), np.zeros(rows * cells, "u4")
 
-def _flat(sets: Sequence[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = [len(x) for x in sets]
-    return np.repeat(np.arange(len(sets)), sizes), np.fromiter((k for x in sets for k in x), "u8", sum(sizes))
+    def add(self, owners: np.ndarray, keys: np.ndarray, signs: np.ndarray) -> None:
+        checks, part = _check(keys), self.cells // 3
+        for k in range(3):
+            at = owners * self.cells + k * part + (_mixed(keys, k) % np.uint64(part)).astype("i8")
+            np.add.at(self.count, at, signs)
+            np.bitwise_xor.at(self.key, at, keys)
+            np.bitwise_xor.at(self.check, at, checks)
 
+    def minus(self, other: Cells) -> Cells:
+        out = Cells(0, self.cells)
+        out.count, out.key, out.check = self.count - other.count, self.key ^ other.key, self.check ^ other.check
+        return out
 
-def sketches(sets: Sequence[list[int]], cells: int = CELLS) -> np.ndarray:
-    """A row of cells per set."""
-    table = np.zeros(len(sets) * cells, CELL)
-    owners, keys = _flat(sets)
-    _add(table, owners, keys, np.ones(len(keys), "i4"), cells)
-    return table.reshape(len(sets), cells)
+    def printed(self) -> list[str]:
+        table = np.zeros(len(self.count), CELL)
+        table["count"], table["key"], table["check"] = self.count, self.key, self.check
+        return [base64.b64encode(row.tobytes()).decode("ascii") for row in table.reshape(-1, self.cells)]
 
 
-def subtract(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    out = np.empty_like(left)
-    out["count"] = left["count"] - right["count"]
-    out["key"], out["check"] = left["key"] ^ right["key"], left["check"] ^ right["check"]
-    return out
+class Sets:
+    """Digest sets of several texts in one array."""
+
+    def __init__(self, sets: Sequence[list[int]]) -> None:
+        self.sizes = np.array([len(x) for x in sets], "i8")
+        self.ends = np.cumsum(self.sizes)
+        self.keys = np.array([key for x in sets for key in x], "u8")
+
+    def sketches(self, cells: int = CELLS, rows: np.ndarray | None = None) -> Cells:
+        """A row of cells for each set, or for each of ``rows``."""
+        rows = np.arange(len(self.sizes)) if rows is None else rows
+        sizes = self.sizes[rows]
+        owners = np.repeat(np.arange(len(rows)), sizes)
+        starts = self.ends[rows] - sizes
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        out = Cells(len(rows), cells)
+        out.add(owners, self.keys[np.repeat(starts, sizes) + within], np.ones(len(owners), "i4"))
+        return out
 
 
-def peel(difference: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For rows of subtracted cells: whether all was recovered; then row, digest and sign of each recovered digest."""
-    n, cells = difference.shape
-    table = difference.reshape(-1).copy()
+def peel(table: Cells) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Empties rows of subtracted cells: whether each was recovered whole; then row, digest and sign of each recovered digest."""
     rows, keys, signs = [], [], []
     while True:
-        pure = np.flatnonzero(np.abs(table["count"]) == 1)
-        pure = pure[_check(table["key"][pure]) == table["check"][pure]]
+        pure = np.flatnonzero((table.count == 1) | (table.count == -1))
+        pure = pure[_check(table.key[pure]) == table.check[pure]]
         if not len(pure):
             break
-        own = np.stack([(pure // cells).astype("u8"), table["key"][pure]])
-        _, first = np.unique(own, axis=1, return_index=True)
+        # A digest alone in several of its cells is taken once.
+        _, first = np.unique(table.key[pure] + (pure // table.cells).astype("u8") * ODD[0], return_index=True)
         pure = pure[first]
-        row, key, sign = pure // cells, table["key"][pure].copy(), table["count"][pure].copy()
-        _add(table, row, key, -sign, cells)
+        row, key, sign = pure // table.cells, table.key[pure], table.count[pure]
+        table.add(row, key, -sign)
         rows.append(row)
         keys.append(key)
         signs.append(sign)
-    left = table.reshape(n, cells)
-    done = ((left["count"] == 0) & (left["key"] == 0) & (left["check"] == 0)).all(axis=1)
+    full = (table.count != 0) | (table.key != 0) | (table.check != 0)
+    done = ~full.reshape(-1, table.cells).any(axis=1)
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
     return done, join(rows, "i8"), join(keys, "u8"), join(signs, "i4")
 
 
-def differences(left: Sequence[list[int]], right: Sequence[list[int]], cells: int = CELLS) -> list[tuple[list[int], list[int]]]:
-    """For each pair of digest sets, what only the left and only the right one has, by peeling larger and larger sketches."""
-    out: list[tuple[list[int], list[int]]] = [([], []) for _ in left]
-    todo = np.arange(len(left))
+def recovered(left: Sets, right: Sets, first: Cells | None = None, cells: int = CELLS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pair, digest and sign of what only one side of each pair has, by peeling larger and larger sketches.
+
+    ``first`` are subtracted sketches of all pairs, if they are there already.
+    """
+    todo = np.arange(len(left.sizes))
     while len(todo):
-        found = peel(subtract(sketches([left[i] for i in todo], cells), sketches([right[i] for i in todo], cells)))
-        done, rows, keys, signs = found
+        table = first if first is not None else left.sketches(cells, todo).minus(right.sketches(cells, todo))
+        first = None
+        done, rows, keys, signs = peel(table)
         good = done[rows]
-        for row, key, sign in zip(todo[rows[good]].tolist(), keys[good].tolist(), signs[good].tolist()):
-            out[row][sign < 0].append(key)
+        yield todo[rows[good]], keys[good], signs[good]
         todo = todo[~done]
         cells *= GROWTH
-    return out
 
 
-def likeness(left: Sequence[list[int]], right: Sequence[list[int]], cells: int = CELLS) -> list[float]:
-    """Shared paragraphs over all paragraphs of each pair, from recovered differences; 1 where neither has any."""
-    out = []
-    for a, b, (only_a, only_b) in zip(left, right, differences(left, right, cells)):
-        shared = len(a) - len(only_a)
-        union = shared + len(only_a) + len(only_b)
-        out.append(shared / union if union else 1.0)
+def differences(left: Sequence[list[int]], right: Sequence[list[int]], cells: int = CELLS) -> list[tuple[list[int], list[int]]]:
+    """For each pair of digest sets, what only the left and only the right one has."""
+    out: list[tuple[list[int], list[int]]] = [([], []) for _ in left]
+    for rows, keys, signs in recovered(Sets(left), Sets(right), cells=cells):
+        for row, key, sign in zip(rows.tolist(), keys.tolist(), signs.tolist()):
+            out[row][sign < 0].append(key)
     return out
 
 
-def printed(sketch: np.ndarray) -> str:
-    return base64.b64encode(sketch.tobytes()).decode("ascii")
+def likeness(left: Sets, right: Sets, first: Cells | None = None) -> list[float]:
+    """Shared paragraphs over all paragraphs of each pair, from recovered differences; 1 where neither has any."""
+    n = len(left.sizes)
+    only = np.zeros((n, 2))
+    for rows, _, signs in recovered(left, right, first):
+        for side, sign in enumerate((1, -1)):
+            only[:, side] += np.bincount(rows[signs == sign], minlength=n)
+    shared = left.sizes - only[:, 0]
+    union = shared + only.sum(axis=1)
+    return np.where(union > 0, shared / np.maximum(union, 1), 1.0).tolist()
 
 
 def edited(text: str, following: str) -> str:
@@ -174,12 +208,15 @@ DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edit
 def compared(ids: list, texts: list[str], following: list[str]) -> dict[str, list]:
     """The result columns for documents and the texts that come next."""
     changed = [edited(x, y) for x, y in zip(texts, following)]
-    own, other = [digests(x) for x in texts], [digests(x) for x in changed]
+    known: dict[str, int] = {}
+    own, other = [digests(x, known) for x in texts], [digests(x, known) for x in changed]
     # Mostly the next text is the next row.
-    after = [own[i + 1] if i + 1 < len(texts) and texts[i + 1] is y else digests(y) for i, y in enumerate(following)]
+    after = [own[i + 1] if i + 1 < len(texts) and texts[i + 1] is y else digests(y, known) for i, y in enumerate(following)]
+    left, right, last = Sets(own), Sets(other), Sets(after)
+    print_left, print_right, print_last = left.sketches(), right.sketches(), last.sketches()
     return {"doc_id": ids, "n_chars": [len(x) for x in texts], "edited_sha256": [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in changed],
-            "fingerprint": [printed(x) for x in sketches(own)], "edited_fingerprint": [printed(x) for x in sketches(other)],
-            "near_edited": likeness(own, other), "near_next": likeness(own, after)}
+            "fingerprint": print_left.printed(), "edited_fingerprint": print_right.printed(),
+            "near_edited": likeness(left, right, print_left.minus(print_right)), "near_next": likeness(left, last, print_left.minus(print_last))}
 
 
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

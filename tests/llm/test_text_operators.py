@@ -183,7 +183,7 @@ def test_peeling_recovers_differences():
     right = [keys[10:320], keys[200:260], [], keys[:5], []]
     for a, b, (only_a, only_b) in zip(left, right, fingerprints.differences(left, right)):
         assert sorted(only_a) == sorted(set(a) - set(b)) and sorted(only_b) == sorted(set(b) - set(a))
-    assert fingerprints.likeness([[1, 2], []], [[1, 3], []]) == [pytest.approx(1 / 3), 1.0]
+    assert fingerprints.likeness(fingerprints.Sets([[1, 2], []]), fingerprints.Sets([[1, 3], []])) == [pytest.approx(1 / 3), 1.0]
 
 
 def expected_fingerprints(rows):
