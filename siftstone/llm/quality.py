@@ -189,6 +189,12 @@ def score_documents(docs: DataFrame, model: KneserNey) -> DataFrame:
     return packed.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(sums, "doc_id long, text_hash long, lang string, n long, nll double")
 
 
+def _of_languages(df: DataFrame, name: str, most: int = 10_000) -> DataFrame:
+    """``df`` written, and broadcast unless it has more rows than languages there are."""
+    df = materialize(df, name)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def classify(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float = 0.99, slack: float = 1.25, prior: float = 200.0, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``doc_id, text_hash, lang, n_symbols, perplexity, threshold, keep`` of every row.
 
@@ -213,13 +219,14 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float
     good = scored.join(trusted, "doc_id", "left_semi")
     mean = F.sum("nll") / F.sum("n")
     overall = good.agg(mean.alias("mean")).first()["mean"]
-    means = good.groupBy("lang").agg(mean.alias("mean"))
+    # A row per language: sent to the tasks, so that no language is one task's.
+    means = _of_languages(good.groupBy("lang").agg(mean.alias("mean")), "means")
     drawn = lambda df: df.join(means, "lang", "left").withColumn(
         "perplexity", F.exp((F.col("nll") + prior * F.coalesce("mean", F.lit(overall))) / (F.col("n") + prior)))
     smoothed = drawn(good)
     cut = F.percentile_approx("perplexity", quantile, 10_000) * slack
     general = smoothed.agg(cut.alias("t")).first()["t"]
-    limits = smoothed.groupBy("lang").agg(cut.alias("threshold"))
+    limits = _of_languages(smoothed.groupBy("lang").agg(cut.alias("threshold")), "limits")
     judged = drawn(scored).join(limits, "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(general)))
     return judged.select("doc_id", "text_hash", "lang", F.col("n").alias("n_symbols"), "perplexity", "threshold", (F.col("perplexity") <= F.col("threshold")).alias("keep"))
 
