@@ -277,6 +277,17 @@ def near_duplicates(docs: DataFrame, text: str | Column = "text", doc_id: str |
     return prints.join(of_print, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_firsts(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The first row of ``docs`` of each ``root`` over ``rooted`` (``doc_id``, ``text_hash``, ``root``)."""
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
+    winners = rooted.groupBy("root").agg(F.min(order).alias("w"))
+    chosen = materialize(winners.select(F.col("w.doc_id").alias("kept_id"), F.col("w.text_hash").alias("kept_hash")), "kept")
+    kept = docs.join(
+        chosen, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash")), "left_semi")
+    # Rows equal in id and text are the same document more than once.
+    return kept.dropDuplicates(["doc_id", "text"]).select(docs.columns)
+
+
 def one_of_each(docs: DataFrame, shingle: int = 4, leaf_size: int = 65_536) -> DataFrame:
     """The rows of ``docs``, unchanged, less all but one of each near-duplicate component.
 
@@ -287,10 +298,4 @@ def one_of_each(docs: DataFrame, shingle: int = 4, leaf_size: int = 65_536) -> D
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     marked = materialize(_prints_of(keyed, shingle), "fingerprints")
     classes = print_classes(marked, leaf_size)
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
-    winners = marked.join(classes, "print").groupBy("root").agg(F.min(order).alias("w"))
-    chosen = materialize(winners.select(F.col("w.doc_id").alias("kept_id"), F.col("w.text_hash").alias("kept_hash")), "kept")
-    kept = docs.join(
-        chosen, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash")), "left_semi")
-    # Rows equal in id and text are the same document more than once.
-    return kept.dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    return keep_firsts(docs, marked.join(classes, "print"))
