@@ -6,7 +6,9 @@ their sums by context are tables keyed by n-gram, and probabilities come from
 joins with them, shard by shard. What is joined are the distinct n-grams of a
 block of documents, so a frequent one is a row per block; the answers go
 back to their block, where each document's sum is taken. A document is
-rejected above its language's quantile of trusted perplexities.
+rejected outside a low and a high limit from its language's quantiles of trusted
+perplexities. A word over and over is not improbable by characters, so the pairs of
+words that a document has had before are counted too, with a limit of their own.
 """
 
 from __future__ import annotations
@@ -72,6 +74,12 @@ def _compact(numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(seen), (np.cumsum(seen) - 1)[numbers]
 
 
+def repeats(text: str) -> tuple[int, int]:
+    """Words of a text, and how many of them follow the same word as before, anywhere earlier in it."""
+    words = text.split()
+    return len(words), max(0, len(words) - 1 - len(set(zip(words, words[1:]))))
+
+
 def count_grams(texts: DataFrame, order: int) -> DataFrame:
     """``gram, c`` over a column ``text``."""
 
@@ -141,7 +149,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """``doc_id, text_hash, lang, n, nll``: symbols of each document and the sum of their negative log probabilities.
+    """``doc_id, text_hash, lang, n, nll, words, repeats``: symbols of each document, the sum of their negative log probabilities, and ``repeats``.
 
     ``docs`` is read twice and has to give the same partitions each time, as
     the scan of a table does; otherwise the job fails.
@@ -161,7 +169,7 @@ def score_documents(docs: DataFrame, model: KneserNey) -> DataFrame:
             row = {name: [part.column(name).to_pylist()] for name in ("doc_id", "text_hash", "lang")}
             yield from to_batches({"block": [number], **row, "sizes": [[len(x) for x in texts]], "texts": [zstandard.compress(b"".join(texts), 6)]}, kinds)
 
-    out = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("nll", pa.float64())])
+    out = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("nll", pa.float64()), ("words", pa.int64()), ("repeats", pa.int64())])
 
     def sums(packed: pa.Table, answers: pa.Table) -> pa.Table:
         logs = dict(zip(answers.column("gram").to_pylist(), answers.column("log_p").to_pylist()))
@@ -179,6 +187,10 @@ def score_documents(docs: DataFrame, model: KneserNey) -> DataFrame:
                 columns[name] += row[name]
             columns["n"] += [len(x) + 1 for x in texts]
             columns["nll"] += nll.tolist()
+            for text in texts:
+                n_words, n_repeats = repeats(text)
+                columns["words"].append(n_words)
+                columns["repeats"].append(n_repeats)
         return pa.table(columns, schema=out)
 
     rows = _rows(docs)
@@ -186,7 +198,7 @@ def score_documents(docs: DataFrame, model: KneserNey) -> DataFrame:
     known = materialize(model.probabilities(asked.select("gram").distinct()).select("gram", F.ln("p").alias("log_p")), "probabilities")
     answers = asked.join(known, "gram").select(F.col("block").alias("of_block"), "gram", "log_p")
     packed = rows.mapInArrow(squeeze, "block long, doc_id array<long>, text_hash array<long>, lang array<string>, sizes array<long>, texts binary")
-    return packed.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(sums, "doc_id long, text_hash long, lang string, n long, nll double")
+    return packed.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(sums, "doc_id long, text_hash long, lang string, n long, nll double, words long, repeats long")
 
 
 def _of_languages(df: DataFrame, name: str, most: int = 10_000) -> DataFrame:
@@ -195,14 +207,17 @@ def _of_languages(df: DataFrame, name: str, most: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def classify(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float = 0.99, slack: float = 1.25, prior: float = 200.0, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """``doc_id, text_hash, lang, n_symbols, perplexity, threshold, keep`` of every row.
+def classify(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float = 0.99, slack: float = 1.25, prior: float = 200.0, broadcast_rows: int = 1_000_000, repeat_slack: float = 2.5, repeat_prior: float = 50.0) -> DataFrame:
+    """``doc_id, text_hash, lang, n_symbols, perplexity, threshold, low_threshold, repeated, repeated_threshold, keep`` of every row.
 
     The model is trained on all documents that ``labels`` trusts. A document's
     mean is drawn to its language's by ``prior`` symbols, so a short one is
     not rejected on a few characters. The threshold is ``slack`` times the
-    language's ``quantile`` over trusted documents; a language without any has
-    that of all. Without trusted text everything is kept. A null
+    language's ``quantile`` over trusted documents, the low one the opposite quantile
+    over ``slack``. ``repeated`` is the share of words in a pair the document has had, with one
+    more repeat and ``repeat_prior`` words at the language's share; its threshold is
+    ``repeat_slack`` times the same quantile. A language without any trusted document
+    has the limits of all. Without trusted text everything is kept. A null
     or empty text is one end symbol; a null language is ``und``. Rows equal in
     id and text score alike and come back each. Up to ``broadcast_rows`` trusted
     ids are sent to the tasks, more are joined by a shuffle.
@@ -214,21 +229,28 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float
     counts = count_grams(text, order)
     model = KneserNey(counts, order)
     scored = materialize(score_documents(docs, model), "scores")
+    names = ("threshold", "low_threshold", "repeated_threshold")
     if not model.counts[1].head(1):
-        return scored.select("doc_id", "text_hash", "lang", F.col("n").alias("n_symbols"), F.exp(F.col("nll") / F.col("n")).alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
+        unknown = {x: F.lit(None).cast("double").alias(x) for x in (*names, "repeated")}
+        return scored.select("doc_id", "text_hash", "lang", F.col("n").alias("n_symbols"), F.exp(F.col("nll") / F.col("n")).alias("perplexity"), unknown["threshold"], unknown["low_threshold"], unknown["repeated"], unknown["repeated_threshold"], F.lit(True).alias("keep"))
     good = scored.join(trusted, "doc_id", "left_semi")
     mean = F.sum("nll") / F.sum("n")
-    overall = good.agg(mean.alias("mean")).first()["mean"]
+    share = F.coalesce(F.try_divide(F.sum("repeats"), F.sum("words")), F.lit(0.0))
+    overall = good.agg(mean.alias("mean"), share.alias("share")).first()
     # A row per language: sent to the tasks, so that no language is one task's.
-    means = _of_languages(good.groupBy("lang").agg(mean.alias("mean")), "means")
+    means = _of_languages(good.groupBy("lang").agg(mean.alias("mean"), share.alias("share")), "means")
     drawn = lambda df: df.join(means, "lang", "left").withColumn(
-        "perplexity", F.exp((F.col("nll") + prior * F.coalesce("mean", F.lit(overall))) / (F.col("n") + prior)))
+        "perplexity", F.exp((F.col("nll") + prior * F.coalesce("mean", F.lit(overall["mean"]))) / (F.col("n") + prior))).withColumn(
+        "repeated", (F.col("repeats") + 1 + repeat_prior * F.coalesce("share", F.lit(overall["share"]))) / (F.col("words") + repeat_prior))
     smoothed = drawn(good)
-    cut = F.percentile_approx("perplexity", quantile, 10_000) * slack
-    general = smoothed.agg(cut.alias("t")).first()["t"]
-    limits = _of_languages(smoothed.groupBy("lang").agg(cut.alias("threshold")), "limits")
-    judged = drawn(scored).join(limits, "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(general)))
-    return judged.select("doc_id", "text_hash", "lang", F.col("n").alias("n_symbols"), "perplexity", "threshold", (F.col("perplexity") <= F.col("threshold")).alias("keep"))
+    cuts = (F.percentile_approx("perplexity", quantile, 10_000) * slack, F.percentile_approx("perplexity", 1 - quantile, 10_000) / slack,
+            F.percentile_approx("repeated", quantile, 10_000) * repeat_slack)
+    cuts = [cut.alias(name) for name, cut in zip(names, cuts)]
+    general = smoothed.agg(*cuts).first()
+    limits = _of_languages(smoothed.groupBy("lang").agg(*cuts), "limits")
+    judged = drawn(scored).join(limits, "lang", "left").withColumns({x: F.coalesce(x, F.lit(general[x])) for x in names})
+    keep = F.col("perplexity").between(F.col("low_threshold"), F.col("threshold")) & (F.col("repeated") <= F.col("repeated_threshold"))
+    return judged.select("doc_id", "text_hash", "lang", F.col("n").alias("n_symbols"), "perplexity", "threshold", "low_threshold", "repeated", "repeated_threshold", keep.alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **more) -> DataFrame:
