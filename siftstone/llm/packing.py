@@ -199,3 +199,18 @@ def packed_documents(docs: DataFrame, limits: Limits = Limits(), keep_ids: bool
     """Documents cut into pieces and packed into sequences; see ``token_pieces`` and ``pack``."""
     pieces = token_pieces(docs, limit=limits.tokens, keep_ids=keep_ids, **more)
     return pack(pieces, limits=limits)
+
+
+def digests(packed: DataFrame) -> DataFrame:
+    """``packed`` with ``ids_crc32`` taken anew from its ``ids``, which go."""
+    rows = packed.drop("ids_crc32")
+    schema = packed.drop("ids").select(*[c for c in packed.columns if c not in ("ids", "ids_crc32")], "ids_crc32").schema
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("ids"))
+            ids, ends = lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False), lists.offsets.to_pylist()
+            found = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends, ends[1:])]
+            yield batch.drop_columns("ids").append_column("ids_crc32", pa.array(found, pa.int64()))
+
+    return rows.mapInArrow(digest, schema).select(*[c for c in packed.columns if c != "ids"])

@@ -47,9 +47,9 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token sequences of at most 4,096 ids."""
-    from .packing import packed_documents
+    from .packing import digests, packed_documents
 
-    return packed_documents(table(spark, sf_dir, "documents"), keep_ids=False)
+    return digests(packed_documents(table(spark, sf_dir, "documents")))
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
