@@ -90,6 +90,27 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors, by inner product, of every twentieth one."""
+    from .vector_graph import nearest_vectors
+
+    return nearest_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the words of every source lie from those of each other source, and which words set it apart from its language."""
+    from .divergence import audit_sources
+
+    return audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A leaf for every document, its proof, and whether the proof holds after tampering."""
+    from .merkle import audited_manifest
+
+    return audited_manifest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole corpus pipeline over ``documents``."""
     import corpus_pipeline
@@ -109,6 +130,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_vector_graph": op11_vector_graph,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 # Edit distance 1 leaves one half of the shorter line as it is, so equal halves are joined.
@@ -131,4 +155,54 @@ SELECT r.doc_id, CASE WHEN r.text IS NULL THEN NULL ELSE coalesce(t.text, '') EN
        CASE WHEN r.text IS NULL THEN NULL WHEN coalesce(t.text, '') = '' THEN 0 ELSE CAST(len(string_split(t.text, chr(10))) AS int) END AS n_kept
 FROM rows r LEFT JOIN texts t ON r.doc_id = t.doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": LINES_SQL}
+SOURCES_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+words AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS lang_count FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+cells AS (SELECT lang, source, term, count(*) AS c FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+langs AS (SELECT lang, count(*) AS v, sum(lang_count) AS n FROM kept GROUP BY lang),
+groups AS (SELECT g.lang, g.source, coalesce(sum(c.c), 0) AS n FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN cells c USING (lang, source) GROUP BY g.lang, g.source),
+shares AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+                  1 + (1000000000 * (coalesce(c.c, 0)::HUGEINT + 5)) // (g.n::HUGEINT + 5 * l.v) AS p,
+                  1 + (1000000000 * (k.lang_count::HUGEINT + 5)) // (l.n::HUGEINT + 5 * l.v) AS q
+           FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sums AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source
+         GROUP BY x.lang, x.source, y.source),
+rows AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+         FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN sums s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+         UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM shares WHERE c > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS int) AS rank FROM rows QUALIFY part = 'pair' OR rank <= 50"""
+
+# One step of the first two recursions makes a level of the trees, one of the last folds a step of the proofs.
+MANIFEST_SQL = """
+WITH RECURSIVE heads AS (
+  SELECT row_number() OVER () AS r, doc_id, source, text,
+         xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+                         lambda crc, x: list_reduce([xor(crc, x)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, (a & 1) * 3988292384))), 4294967295) % 5 = 0 AS hit,
+         concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+                coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head
+  FROM documents),
+leaves AS (SELECT r, doc_id, source, sha256(concat(head, coalesce(strlen(text) || ':' || text, '-'))) AS leaf, hit,
+                  sha256(concat(head, coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-'))) AS changed FROM heads),
+placed AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS src, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                  count(*) OVER (PARTITION BY source) AS n FROM leaves),
+tree AS (SELECT src, 0 AS level, pos, n, leaf AS digest FROM placed
+         UNION ALL SELECT src, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY src, level, n, pos // 16),
+subroots AS (SELECT src, digest, row_number() OVER (ORDER BY src) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (SELECT 0 AS level, pos, n, digest FROM subroots
+        UNION ALL SELECT level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, n, pos // 16),
+nodes AS (SELECT src, level, pos, digest FROM tree WHERE n > 1 UNION ALL SELECT -1, level, pos, digest FROM top WHERE n > 1),
+steps AS (SELECT src, level, pos,
+                 coalesce(string_agg(digest, '') OVER (PARTITION BY src, level, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+                 coalesce(string_agg(digest, '') OVER (PARTITION BY src, level, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM nodes),
+ways AS (SELECT p.r, s.level AS k, before, after FROM placed p JOIN steps s ON s.src = p.src AND s.pos = p.pos // CAST(16 ** s.level AS BIGINT)
+         UNION ALL SELECT p.r, 1000 + s.level, before, after FROM placed p JOIN subroots u ON u.src = p.src JOIN steps s ON s.src = -1 AND s.pos = u.pos // CAST(16 ** s.level AS BIGINT)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY k) AS step FROM ways),
+proofs AS (SELECT r, max(step) AS steps, sha256(string_agg(before || after, '' ORDER BY step)) AS proof_sha256 FROM ranked GROUP BY r),
+folds AS (SELECT r, 0 AS step, CASE WHEN hit THEN changed ELSE leaf END AS node FROM placed
+          UNION ALL SELECT f.r, f.step + 1, sha256(concat(w.before, f.node, w.after)) FROM folds f JOIN ranked w ON w.r = f.r AND w.step = f.step + 1)
+SELECT p.doc_id, p.leaf, u.digest AS subroot, t.digest AS root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256, f.node AS folded_root, f.node = t.digest AS verified
+FROM placed p JOIN subroots u ON u.src = p.src CROSS JOIN (SELECT digest FROM top WHERE n = 1) t LEFT JOIN proofs q ON q.r = p.r
+JOIN folds f ON f.r = p.r AND f.step = coalesce(q.steps, 0)"""
+
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": LINES_SQL, "op12_source_divergence": SOURCES_SQL, "op13_merkle_manifest": MANIFEST_SQL}
