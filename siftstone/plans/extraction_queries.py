@@ -12,6 +12,7 @@ from ..operators import extract as E
 from ..operators import lines as L
 from ..sources import files as S
 from ..sources import logs, rules
+from . import shapes
 from . import sql as Q
 from .views import view, with_views
 
@@ -125,6 +126,16 @@ def extract_declarations(spark, sf):
                       F.md5("body").alias("body"))
 
 
+def extract_shapes(spark, sf):
+    out = E.extract_symbols(view(spark, sf, "shape_files_v"))
+    return out.select("path", "line", "kind", "name", "container", "qualified_name", "signature", "documentation", "file_context",
+                      F.md5("body").alias("body"))
+
+
+def route_unparsed(spark, sf):
+    return E.route_extractors(view(spark, sf, "shape_files_v"))
+
+
 def _annotate(path: str, content: str) -> list[dict]:
     """A caller's extractor: one symbol per file, named after its content."""
     return [{"line": 1, "kind": "file", "name": hashlib.md5(content.encode()).hexdigest(), "body": content}]
@@ -220,6 +231,8 @@ QUERIES = {
  UNION ALL SELECT concat('ts/p', p_partkey, '.ts'), 4, 'method', 'size', {_CAMEL}, 'size(): number', p_brand, '', concat('{{ return ', p_size, ' }}') FROM part
  UNION ALL SELECT concat('ts/p', p_partkey, '.ts'), 7, 'constant', 'limit', '', concat('limit = ', p_size), '', '', p_size::VARCHAR FROM part)
 SELECT path, line, kind, name, container, CASE WHEN container = '' THEN name ELSE concat(container, '.', name) END AS qualified_name, signature, documentation, file_context, md5(body) AS body FROM syms"""),
+    "extract_shapes": (extract_shapes, shapes.symbols_sql()),
+    "route_unparsed": (route_unparsed, shapes.verdicts_sql()),
     "extract_with_udtf": (extract_with_udtf, with_views(
         "SELECT path, 1::INT AS line, 'file' AS kind, md5(content) AS name, '' AS documentation, md5(content) AS body FROM marked_files_v", "marked_files_v")),
 }

@@ -11,6 +11,8 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import shapes
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
           "pages", "benchmark", "labels", "conversations"]
 
@@ -127,6 +129,8 @@ SELECT concat('ts/p', CAST(p_partkey AS string), '.ts'),
        concat('/** ', p_name, ' */', chr(10), 'export class Part', CAST(p_partkey AS string), ' {{', chr(10), '  // ', p_brand, chr(10),
               '  size(): number {{ return ', CAST(p_size AS string), ' }}', chr(10), '}}', chr(10), chr(10),
               'export const limit = ', CAST(p_size AS string), ';', chr(10)) FROM {part}""",
+    # Files of all shapes of code, some of which do not parse.
+    "shape_files_v": shapes.files_sql(),
     # Two file-hash states: the listing, and what an earlier run saw.
     "files_v": "SELECT concat(source, '/doc_', CAST(doc_id AS string)) AS path, md5(text) AS content_hash FROM {documents}",
     "prev_files_v": """
