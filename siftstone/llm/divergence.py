@@ -10,9 +10,9 @@ absent term; where a count is left, single cells are compared.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,8 +24,8 @@ from siftstone.session import materialize
 
 from .common import blocks, whole_text
 
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
+#: Bytes that part terms become blanks, A-Z become a-z; bytes of other characters stay.
+LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 SCALE = 1_000_000_000
 #: Groups and terms of a language in a tile (two halves of groups); both are dealt by hashes, so sizes are expected ones.
 TILE_GROUPS, TILE_TERMS = 32, 1024
@@ -36,21 +36,18 @@ def count_terms(docs: DataFrame) -> DataFrame:
 
     A row with a null term stands for its group.
     """
-    rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], whole_text().alias("text"))
+    rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], whole_text().cast("binary").alias("text"))
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("count", pa.int64()), ("docs", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches):
-            held: dict[tuple, tuple[Counter, Counter]] = {}
+        for part in blocks(batches, size=4 << 20):
+            held: dict[tuple, list[list[bytes]]] = defaultdict(list)
             for lang, source, text in zip(*[part.column(c).to_pylist() for c in ("lang", "source", "text")]):
-                counts, holders = held.setdefault((lang, source), (Counter(), Counter()))
-                own = Counter(TERM.findall(text.translate(LOWER) if not text.isascii() else text.lower()))
-                counts.update(own)
-                holders.update(own.keys())
-            for (lang, source), (counts, holders) in held.items():
-                terms = [None, *counts]
-                n = len(terms)
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * n, "source": [source] * n, "term": terms, "count": [0, *counts.values()],
+                held[lang, source].append(text.translate(LETTERS).split())
+            for (lang, source), words in held.items():
+                counts, holders = Counter(chain.from_iterable(words)), Counter(chain.from_iterable(map(set, words)))
+                n = len(counts) + 1
+                yield pa.RecordBatch.from_pydict({"lang": [lang] * n, "source": [source] * n, "term": pa.array([None, *counts], pa.binary()).cast(pa.string()), "count": [0, *counts.values()],
                                                   "docs": [0, *map(holders.__getitem__, counts)]}, schema)
 
     return rows.mapInArrow(read, "lang string, source string, term string, count long, docs long")
