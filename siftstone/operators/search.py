@@ -14,6 +14,7 @@ from ..functions.paths import path_weight
 from ..schemas import SYMBOL_TEXT
 from ..session import materialize
 from . import lexical
+from .postings import Postings, lexical_search
 from .vector import vector_knn
 
 HASH = ["provider", "model_id", "embedding_hash"]
@@ -126,7 +127,7 @@ def unknown_modes(queries: DataFrame) -> DataFrame:
 
 def auto_search(queries: DataFrame, symbols: DataFrame, embeddings: DataFrame,
                 weights: Mapping[str, float] | None = None, limit: int = fixed.DEFAULT_LIMIT,
-                max_distance: float = fixed.DEFAULT_MAX_DISTANCE) -> DataFrame:
+                max_distance: float = fixed.DEFAULT_MAX_DISTANCE, index: Postings | None = None) -> DataFrame:
     """Hits of every query by its mode; ``auto`` (or no ``mode``) is routed.
 
     Modes are read without blanks and case. A query of an unknown mode has no
@@ -157,7 +158,7 @@ def auto_search(queries: DataFrame, symbols: DataFrame, embeddings: DataFrame,
     empty = routed.filter((F.col("route") == "semantic") & (F.col("mode") != "semantic")).join(
         semantic.select("query_id").distinct(), "query_id", "left_anti")
     word_queries = routed.filter(F.col("route") == "lexical").unionByName(empty).select("query_id", "text")
-    words = lexical.lexical_search(word_queries, symbols, weights, limit).select(
+    words = lexical_search(word_queries, symbols, weights, limit, index).select(
         "query_id", "rank", *lexical.ORDER, F.lit(None).cast("double").alias("distance"),
         F.lit(None).cast("double").alias("sort_distance"), "lexical_score", F.lit("lexical").alias("metric"))
     return semantic.unionByName(words)

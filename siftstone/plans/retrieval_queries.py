@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import embed as E
-from ..operators import lexical
+from ..operators import lexical, postings
 from ..operators import search as S
 from ..operators.vector import vector_knn
 from . import sql as Q
@@ -17,7 +17,7 @@ NEAR_CUT = 0.97
 
 
 def lexical_search(spark, sf):
-    return lexical.lexical_search(view(spark, sf, "queries_v"), view(spark, sf, "symbols_v"))
+    return postings.lexical_search(view(spark, sf, "queries_v"), view(spark, sf, "symbols_v"))
 
 
 def vector_knn_all(spark, sf):

@@ -12,11 +12,12 @@ from ..functions import fixed
 from ..operators import embed as E
 from ..operators import evaluate as V
 from ..operators import index as I
+from ..operators import postings as P
 from ..operators import search as S
 from ..operators.extract import extract_symbols
 from ..session import materialize
 from ..sources.files import content_hash, is_binary
-from ..sources.tables import IndexStore
+from ..sources.tables import POSTING_TABLES, IndexStore
 
 
 def index_files(store: IndexStore, files: DataFrame, embedder: E.Embedder, dim: int, provider: str = fixed.DEFAULT_PROVIDER,
@@ -56,6 +57,7 @@ def index_files(store: IndexStore, files: DataFrame, embedder: E.Embedder, dim:
     store.append("embeddings", vectors)
     snapshot = I.assemble_snapshot(reused, I.unique_symbols(I.symbol_rows(keyed, snapshot_id)))
     store.append("snapshot_symbols", snapshot)
+    store_postings(store, store.table("snapshot_symbols").filter(mine & (F.col("snapshot_id") == snapshot_id)), snapshot_id)
 
     store.write_pointers("current_snapshots", I.activate_pointers(pointers, owner))
     version = max(store.next_id("hash_states", "state_version"), store.next_id("state_files", "state_version"))
@@ -71,6 +73,21 @@ def index_files(store: IndexStore, files: DataFrame, embedder: E.Embedder, dim:
     return counts
 
 
+def store_postings(store: IndexStore, symbols: DataFrame, snapshot_id: int) -> None:
+    """The inverted index of a snapshot's symbols, each part made of the one written before."""
+    mine = F.col("snapshot_id") == snapshot_id
+    owned = lambda rows: rows.withColumn("snapshot_id", F.lit(snapshot_id).cast("long"))
+    forward = P.symbol_words(symbols)
+    store.append("posting_symbols", owned(forward))
+    store.append("postings", owned(P.word_postings(forward)))
+    store.append("vocabulary", owned(P.word_counts(store.table("postings").filter(mine))))
+    store.append("grams", owned(P.word_grams(store.table("vocabulary").filter(mine))))
+
+
+def stored_postings(store: IndexStore, snapshot_id: int) -> P.Postings:
+    return P.Postings(*[store.table(name).filter(F.col("snapshot_id") == snapshot_id).drop("snapshot_id") for name in POSTING_TABLES])
+
+
 def publish_digest(store: IndexStore, manifests: DataFrame, repo: str, provider: str = fixed.DEFAULT_PROVIDER, model_id: str = fixed.DEFAULT_MODEL) -> DataFrame:
     """The manifest of ``repo`` after an index run: next version, digest of the active content, local again."""
     symbols = I.current_symbols(store.table("snapshot_symbols"), store.pointers(), provider, model_id)
@@ -88,7 +105,8 @@ def search_index(store: IndexStore, queries: DataFrame, embedder: E.Embedder, di
     vectors = store.table("embeddings").filter(
         (F.col("provider") == provider) & (F.col("model_id") == model_id) & (F.col("dim") == dim))
     asked = materialize(E.embed_queries(queries, model, embedder, dim), "query-vectors")
-    return S.auto_search(asked, symbols, vectors, weights, limit, max_distance)
+    active = store.pointers().filter((F.col("provider") == provider) & (F.col("model_id") == model_id)).first()
+    return S.auto_search(asked, symbols, vectors, weights, limit, max_distance, stored_postings(store, active["snapshot_id"]))
 
 
 def run_suite(expected: DataFrame, hits: DataFrame) -> DataFrame:
