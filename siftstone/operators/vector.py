@@ -1,15 +1,15 @@
 """Exact nearest neighbours of many query vectors at once (L2 distance).
 
-A query set below a checked size goes to every executor, and the index is
-read once without a shuffle. A larger one is joined by cells: vectors gather
-around pivots, the triangle inequality tells which cells can hold one of a
-query's ``k`` nearest, and only those are visited. Both ways give the same
-rows, and both emit at most ``k`` candidates per query and task.
+Items stay where they are. Queries go to them in chunks of a checked size, one
+after another. A chunk meets the items in waves, each of them ``WAVE`` times as
+many as all before: the k-th distance found so far bounds what a task of the
+next wave hands on, so all tasks together hand on about ``WAVE`` times k candidates
+for a query and wave, however many tasks there are.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,9 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Query sets of at most this many vector components are broadcast (64 MB).
-BROADCAST_COMPONENTS = 8_000_000
-CELL_ROWS, QUERY_ROWS, LEAST_PIVOTS = 8192, 8192, 512
+from ..session import materialize, scratch_dir
+
+# A chunk of queries has at most so many vector components (64 MB), but so many rows at least.
+BROADCAST_COMPONENTS, QUERY_ROWS = 8_000_000, 8192
+#: How many times the items of all earlier waves a wave has; the first one is read by so many times fewer tasks.
+WAVE = 16
 PAIR_BLOCK = 4_000_000
 DIGITS = 9
 
@@ -80,6 +83,14 @@ def vector_knn(queries: DataFrame, index: DataFrame, k: int, query_id: str = "qu
 
     Ties go to the smaller item id. All vectors must have one dimension.
     """
+    nearest = knn_candidates(queries, index, k, query_id, query_vector, item_id, vector, broadcast_components)
+    order = Window.partitionBy(query_id).orderBy("distance", item_id)
+    return nearest.withColumn("candidate_rank", F.row_number().over(order)).filter(F.col("candidate_rank") <= k)
+
+
+def knn_candidates(queries: DataFrame, index: DataFrame, k: int, query_id: str = "query_id", query_vector: str = "query_vector",
+                   item_id: str = "embedding_hash", vector: str = "embedding", broadcast_components: int = BROADCAST_COMPONENTS) -> DataFrame:
+    """``query_id, item_id, distance``: the ``k`` nearest of every query, and what else its tasks could not rule out."""
     queries = queries.select(query_id, query_vector)
     index = index.select(item_id, vector)
     stats = queries.agg(F.count(F.lit(1)).alias("rows"), F.min(F.size(query_vector)).alias("low"),
@@ -88,12 +99,27 @@ def vector_knn(queries: DataFrame, index: DataFrame, k: int, query_id: str = "qu
         raise ValueError("query vectors differ in dimension")
     dim = stats["high"] or 0
     schema = T.StructType([queries.schema[query_id], index.schema[item_id], T.StructField("distance", T.DoubleType())])
-    if stats["rows"] * dim <= broadcast_components:
-        nearest = _knn_broadcast(queries, index, k, dim, schema, query_vector, vector)
-    else:
-        nearest = _knn_cells(queries, index, k, dim, schema, query_vector, vector, stats["rows"])
-    order = Window.partitionBy(query_id).orderBy("distance", item_id)
-    return nearest.withColumn("candidate_rank", F.row_number().over(order)).filter(F.col("candidate_rank") <= k)
+    found = None
+    for chunk in _chunks(queries, stats["rows"], max(QUERY_ROWS, broadcast_components // max(1, dim))):
+        near = _in_waves(chunk.toPandas(), index, k, dim, schema, query_vector, vector)
+        found = near if found is None else found.unionByName(near)
+    return index.sparkSession.createDataFrame([], schema) if found is None else found
+
+
+def _chunks(queries: DataFrame, rows: int, size: int) -> Iterator[DataFrame]:
+    """``queries`` in parts of about ``size`` rows."""
+    if not rows:
+        return
+    parts = -(-rows // size)
+    if parts == 1:
+        yield queries
+        return
+    # By row, so that an id repeated over and over is no large chunk; a folder each, so that a chunk is read alone.
+    where = f"{scratch_dir(queries.sparkSession)}/query-chunks-{uuid.uuid4().hex}"
+    queries.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))).write.partitionBy("chunk").parquet(where)
+    written = queries.sparkSession.read.schema(queries.schema.add("chunk", "long")).parquet(where)
+    for part in range(parts):
+        yield written.filter(F.col("chunk") == part).drop("chunk")
 
 
 def _check(vectors: np.ndarray, dim: int) -> np.ndarray:
@@ -102,105 +128,60 @@ def _check(vectors: np.ndarray, dim: int) -> np.ndarray:
     return vectors
 
 
-def _knn_broadcast(queries, index, k, dim, schema, query_vector, vector) -> DataFrame:
+def _tasks(index: DataFrame) -> int:
+    """About how many tasks read the items; nothing is run to find out."""
+    plan = index._jdf.queryExecution()
+    if not plan.executedPlan().nodeName().startswith("Adaptive"):
+        return index.rdd.getNumPartitions()
+    advised = index._jdf.sparkSession().sessionState().conf().getConf(index.sparkSession._jvm.org.apache.spark.sql.internal.SQLConf.ADVISORY_PARTITION_SIZE_IN_BYTES())
+    return int(str(plan.optimizedPlan().stats().sizeInBytes())) // int(advised) + 1
+
+
+def _in_waves(table: pd.DataFrame, index: DataFrame, k: int, dim: int, schema: T.StructType, query_vector: str, vector: str) -> DataFrame:
+    """Candidates of one chunk. Few tasks hand on little, so a small index is one wave."""
     query_id, item_id = schema[0].name, schema[1].name
-    # Bounded by the caller's size check.
-    table = queries.toPandas()
+    spark = index.sparkSession
     if table.empty:
-        return index.sparkSession.createDataFrame([], schema)
-    shared = index.sparkSession.sparkContext.broadcast((table[query_id].to_numpy(), _matrix(table[query_vector])))
+        return spark.createDataFrame([], schema)
+    tasks, waves = _tasks(index), 1
+    while WAVE**waves < tasks:
+        waves += 1
+    rows = spark.createDataFrame([], T.StructType([T.StructField("row", T.LongType()), *schema.fields[1:]]))
+    bound = np.full(len(table), np.inf)
+    ids, matrix = table[query_id].to_numpy(), _matrix(table[query_vector])
+    step = WAVE ** (waves - 1)
+    place = F.pmod(F.xxhash64(item_id), F.lit(step))
+    for wave in range(waves):
+        low, high = (0 if not wave else WAVE ** (wave - 1)), WAVE**wave
+        part = index if waves == 1 else index.filter((place >= low) & (place < high)).coalesce(max(1, tasks * high // step))
+        shared = spark.sparkContext.broadcast((matrix, bound))
+        found = materialize(_scan(part, shared, k, dim, T.StructType([T.StructField("row", T.LongType()), *schema.fields[1:]]), vector), "nearest")
+        rows = rows.unionByName(found)
+        if wave + 1 < waves:
+            last = Window.partitionBy("row").orderBy("distance")
+            kth = rows.select("row", "distance").withColumn("at", F.row_number().over(last)).filter(F.col("at") == k).toPandas()
+            bound = np.full(len(table), np.inf)
+            bound[kth["row"].to_numpy()] = kth["distance"].to_numpy()
+    names = spark.createDataFrame(pd.DataFrame({"row": np.arange(len(ids)), query_id: ids}), T.StructType([T.StructField("row", T.LongType()), schema.fields[0]]))
+    return rows.join(names, "row").select(query_id, item_id, "distance")
+
+
+def _scan(index: DataFrame, shared, k: int, dim: int, schema: T.StructType, vector: str) -> DataFrame:
+    """``row, item_id, distance`` of the ``k`` nearest items of each task, as far as they are within the bound."""
+    item_id = schema[1].name
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = shared.value
+        matrix, bound = shared.value
         best = None
         for batch in batches:
             if batch.empty:
                 continue
             batch = batch.sort_values(item_id, kind="stable")
             row, column, distance = _nearest(matrix, _check(_matrix(batch[vector]), dim), k)
-            found = pd.DataFrame({"row": row, item_id: batch[item_id].to_numpy()[column], "distance": distance})
+            inside = distance <= bound[row]
+            found = pd.DataFrame({"row": row[inside], item_id: batch[item_id].to_numpy()[column[inside]], "distance": distance[inside]})
             best = found if best is None else _merge_top(pd.concat([best, found], ignore_index=True), k, "row", item_id)
         if best is not None:
-            yield pd.DataFrame({query_id: ids[best["row"]], item_id: best[item_id], "distance": best["distance"]})
+            yield best[["row", item_id, "distance"]]
 
     return index.mapInPandas(run, schema)
-
-
-def _knn_cells(queries, index, k, dim, schema, query_vector, vector, n_queries) -> DataFrame:
-    query_id, item_id = schema[0].name, schema[1].name
-    spark = index.sparkSession
-    n_items = index.count()
-    if not n_items:
-        return spark.createDataFrame([], schema)
-    # Pivots: a repeatable pick, without copies of one vector. Their number grows
-    # as the root of the index, so cells and pivots grow alike.
-    wanted = min(max(LEAST_PIVOTS, math.isqrt(n_items)), max(1, -(-n_items // CELL_ROWS)))
-    picked = index.orderBy(F.xxhash64(item_id), item_id).limit(wanted).toPandas()
-    pivots = np.unique(_check(_matrix(picked[vector]), dim), axis=0)
-    shared = spark.sparkContext.broadcast(pivots)
-
-    def cell_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                yield pd.DataFrame({"cell": pd.Series([], dtype="int32"), "radius": pd.Series([], dtype="float64")})
-                continue
-            _, cell, radius = _nearest(_check(_matrix(batch), dim), shared.value, 1)
-            yield pd.DataFrame({"cell": cell.astype("int32"), "radius": radius})
-
-    assign = F.pandas_udf(cell_of, "cell int, radius double")
-    placed = index.withColumn("at", assign(F.col(vector)))
-    # One row per cell, so as many as pivots come back.
-    cells = placed.groupBy("at.cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("at.radius").alias("low"), F.max("at.radius").alias("high")).toPandas()
-    summary = spark.sparkContext.broadcast(cells.sort_values("cell").reset_index(drop=True))
-    schema_visit = T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("blocks", T.IntegerType())])
-
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = summary.value
-        centres = shared.value[table["cell"].to_numpy()]
-        n, low, high = (table[name].to_numpy() for name in ("n", "low", "high"))
-        blocks = -(-n // CELL_ROWS)
-        for batch in batches:
-            if batch.empty:
-                continue
-            matrix = _matrix(batch[query_vector])
-            square = (np.einsum("ij,ij->i", matrix, matrix)[:, None] + np.einsum("ij,ij->i", centres, centres)
-                      - 2.0 * (matrix @ centres.T))
-            to_pivot = np.sqrt(np.maximum(square, 0.0))
-            # The k-th distance is at most the reach of the first cells holding k vectors.
-            reach = to_pivot + high
-            order = np.argsort(reach, axis=1)
-            held = np.cumsum(n[order], axis=1)
-            enough = np.minimum((held < k).sum(axis=1), len(n) - 1)
-            bound = np.take_along_axis(reach, order, axis=1)[np.arange(len(batch)), enough]
-            bound = np.where(held[:, -1] < k, np.inf, bound)
-            nearest_pivot = to_pivot.min(axis=1, keepdims=True)
-            floor = np.maximum.reduce([to_pivot - high, low - to_pivot, (to_pivot - nearest_pivot) / 2.0])
-            row, column = np.nonzero(floor <= bound[:, None] + 1e-6)
-            out = batch.iloc[row].copy()
-            out["cell"] = table["cell"].to_numpy()[column].astype("int32")
-            out["blocks"] = blocks[column].astype("int32")
-            yield out
-
-    # A cell of any size splits into blocks of CELL_ROWS, and the queries into
-    # parts of QUERY_ROWS, so no task gets an unbounded group.
-    parts = int(-(-n_queries // QUERY_ROWS))
-    sizes = F.create_map(*[F.lit(int(x)) for row in cells.itertuples() for x in (row.cell, -(-row.n // CELL_ROWS))])
-    items = placed.select(
-        item_id, vector, F.col("at.cell").alias("cell"),
-        F.pmod(F.xxhash64(item_id), F.element_at(sizes, F.col("at.cell"))).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    asked = queries.mapInPandas(visits, schema_visit).select(
-        query_id, query_vector, "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.pmod(F.xxhash64(query_id), F.lit(parts)).cast("int").alias("part"))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({name: [] for name in schema.fieldNames()})
-        right = right.sort_values(item_id, kind="stable")
-        row, column, distance = _nearest(_matrix(left[query_vector]), _matrix(right[vector]), k)
-        return pd.DataFrame({query_id: left[query_id].to_numpy()[row], item_id: right[item_id].to_numpy()[column],
-                             "distance": distance})
-
-    keys = ["cell", "block", "part"]
-    return asked.groupBy(*keys).cogroup(items.groupBy(*keys)).applyInPandas(search, schema)

@@ -49,7 +49,6 @@ def test_knn_with_copies(spark, limit, monkeypatch):
     """A third of the vectors are copies of one; both plans find the same."""
     from siftstone.operators import vector
 
-    monkeypatch.setattr(vector, "CELL_ROWS", 64)
     monkeypatch.setattr(vector, "QUERY_ROWS", 32)
     rng = np.random.default_rng(7)
     vectors = rng.normal(size=(600, 8)).astype(np.float32)
@@ -68,6 +67,22 @@ def test_knn_with_copies(spark, limit, monkeypatch):
         assert [(i + 1, names[j], distance[j]) for i, j in enumerate(order)] == sorted(rows)
 
 
+def test_knn_hands_on_few_candidates(spark):
+    """Of many tasks, those of later waves hand on only what may be among the nearest."""
+    from siftstone.operators.vector import knn_candidates
+
+    rng = np.random.default_rng(11)
+    rows = [(f"v{i:05d}", [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(6000, 6)))]
+    items = spark.createDataFrame(spark.sparkContext.parallelize(rows, 120), "embedding_hash string, embedding array<double>")
+    asked = spark.createDataFrame([(f"q{i}", [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(40, 6)))], "query_id string, query_vector array<double>")
+    handed = knn_candidates(asked, items, 5).count()
+    # One list of k from each of 120 tasks would be 24,000; a wave and its bound leave about 8 tasks' lists and 16 k.
+    assert 200 <= handed < 40 * 5 * 30
+    got = {(r.query_id, r.candidate_rank): r.embedding_hash for r in vector_knn(asked, items, 5).collect()}
+    few = {(r.query_id, r.candidate_rank): r.embedding_hash for r in vector_knn(asked, items.coalesce(2), 5).collect()}
+    assert got == few and len(got) == 200
+
+
 def test_knn_checks_dimensions(spark):
     items = spark.createDataFrame([("a", [1.0, 0.0])], "embedding_hash string, embedding array<float>")
     asked = spark.createDataFrame([("q", [1.0, 0.0, 0.0])], "query_id string, query_vector array<float>")
