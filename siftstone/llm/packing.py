@@ -1,36 +1,43 @@
 """Best-fit packing of token pieces into sequences under several capacities at once.
 
 A sequence has three capacities: tokens, documents and attention cost (the sum
-of squared piece lengths). Pieces are dealt by a hash into blocks of a bounded
-expected size; a block packs its own pieces, longest first, each into the open
-sequence that fits it best under every constraint. Blocks leave one sequence
-half filled each, so the waste is a constant share however large the input.
+of squared piece lengths). A task packs blocks of a bounded size of the pieces it
+has made, longest first, each into the open sequence that fits it best under
+every constraint. What blocks leave in sequences that are not full is dealt by
+a hash into blocks again, so the waste is a constant share however large the
+input, and few ids are shuffled.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.session import materialize
+from siftstone.session import materialize, scratch_dir
 
-from .common import blocks, to_batches, tokenizer_path, whole_text, word_tokenizer
+from .common import block_ids, blocks, release, tokenizer_path, whole_text, word_tokenizer
 
 WORD = re.compile(r"[^ \t\n\r]+")
 #: Words whose ids a Python worker remembers; the memory of a worker stays bounded.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Marks at the end of a word of letters are a pre-token of their own; an apostrophe may not be.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+# Of ASCII texts, and of texts of these characters alone, the pre-tokens are known: once in lower case, what PLAIN finds.
+SIMPLE = re.compile(r"[\x00-\x7FÀ-ÖØ-öø-ÿ]*+")
+PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^ \t\n\r\x0B\x0Ca-zß-öø-ÿ0-9]+")
+
+
 @dataclass(frozen=True)
 class Limits:
     """Capacities of a sequence; ``documents`` and ``attention`` as None bind no tighter than ``tokens`` does."""
@@ -94,6 +101,12 @@ def best_fit(lengths: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarra
     return sequence, offset
 
 
+def _placed(table: pa.Table, keys: tuple[str, ...], length: str, limits: Limits) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The rows of ``table`` in placing order, longest first, with the sequence and offset of each."""
+    table = table.take(pc.sort_indices(table.select([length, *keys]), sort_keys=[(length, "descending"), *((k, "ascending") for k in keys)]))
+    return (table, *best_fit(table.column(length).to_numpy().astype("i8"), limits))
+
+
 def pack(pieces: DataFrame, keys: tuple[str, ...] = ("doc_id", "piece"), length: str = "length", limits: Limits = Limits(), block_rows: int = 8192) -> DataFrame:
     """All columns of ``pieces`` with ``sequence_id`` and ``offset``.
 
@@ -107,18 +120,18 @@ def pack(pieces: DataFrame, keys: tuple[str, ...] = ("doc_id", "piece"), length:
     salt = F.xxhash64(*keys, length, F.monotonically_increasing_id())
     schema = pieces.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
 
-    def place(group: pd.DataFrame) -> pd.DataFrame:
-        block = int(group["pack_block"].iloc[0])
-        group = group.sort_values([length, *keys], ascending=[False, *[True] * len(keys)], kind="stable").drop(columns="pack_block")
-        sequence, offset = best_fit(group[length].to_numpy("i8"), limits)
-        return group.assign(sequence_id=sequence + (block << 32), offset=offset)
+    def place(group: pa.Table) -> pa.Table:
+        block = group.column("pack_block")[0].as_py()
+        group, sequence, offset = _placed(group.drop_columns("pack_block"), keys, length, limits)
+        return group.append_column("sequence_id", pa.array(sequence + (block << 32), pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    return pieces.withColumn("pack_block", F.pmod(salt, F.lit(n_blocks))).groupBy("pack_block").applyInPandas(place, schema)
+    return pieces.withColumn("pack_block", F.pmod(salt, F.lit(n_blocks))).groupBy("pack_block").applyInArrow(place, schema)
 
 
 def _piece_ids(path: str):
-    """Ids of whole texts as little-endian bytes, word by word with a bounded memory."""
+    """Ids of whole texts as little-endian bytes, pre-token by pre-token (else word by word) with a bounded memory."""
     tokenizer = word_tokenizer(path)
+    added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
     encode = tokenizer.encode_batch_fast
     ends = np.zeros(tokenizer.get_vocab_size(), bool)
     ends[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
@@ -143,6 +156,9 @@ def _piece_ids(path: str):
                 one_by_one(own)
 
     def learn(new: list[str]) -> None:
+        plain = [word for word in new if word.isalpha()]
+        letters_only(plain)
+        new = [word for word in new if word not in known]
         split = [(word, core, word[len(core) :]) for word in new if (core := word.rstrip(MARKS)) and core.isalpha()]
         rest = [word for word in new if not ((core := word.rstrip(MARKS)) and core.isalpha())]
         letters_only([core for core in dict.fromkeys(core for _, core, _ in split) if core not in known])
@@ -154,63 +170,98 @@ def _piece_ids(path: str):
 
     def ids(texts: list[str]) -> list[bytes]:
         nonlocal known
-        words = [WORD.findall(text) for text in texts]
+        words = [PLAIN.findall(text.lower()) if (text.isascii() or SIMPLE.fullmatch(text)) and not any(map(text.__contains__, added)) else WORD.findall(text) for text in texts]
         own = set().union(*words)
         if len(known) > REMEMBERED:
             known = {word: known[word] for word in own if word in known}
-        learn([word for word in own if word not in known])
+        learn(list(own.difference(known)))
         get = known.__getitem__
         return [b"".join(map(get, x)) for x in words]
 
     return ids
 
 
+PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
+PIECE_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
+
+
+def _cut_pieces(batches: Iterator[pa.RecordBatch], path: str, end: int, limit: int, keep_ids: bool) -> Iterator[pa.Table]:
+    """The pieces of each block of ``doc_id, text``."""
+    encode = _piece_ids(path)
+    last = np.array([end], "<u4").tobytes()
+    for part in blocks(batches, rows=1024, size=2 << 20):
+        kept = PIECE if keep_ids else pa.schema(list(PIECE)[:-1])
+        columns: dict[str, list] = {name: [] for name in kept.names}
+        for key, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist())):
+            ids += last
+            for piece, at in enumerate(range(0, len(ids), 4 * limit)):
+                own = ids[at : at + 4 * limit]
+                for name, value in zip(kept.names, (key, piece, at // 4, len(own) // 4, zlib.crc32(own), own)):
+                    columns[name].append(value)
+        yield pa.Table.from_pydict(columns, schema=kept)
+
+
+def _texts(docs: DataFrame, text: str | Column, doc_id: str | Column) -> DataFrame:
+    return docs.select((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
+
+
 def token_pieces(docs: DataFrame, text: str | Column = "text", doc_id: str | Column = "doc_id", path: str | None = None, end: int = 1,
                  limit: int = 4096, keep_ids: bool = True) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids``: documents as ids with ``end`` after them, cut at ``limit``.
 
-    Only a longer document is cut. A null or empty text is the end id alone.
-    White space is dropped by this tokenizer, so ids are looked up by word.
+    ``ids`` are bytes, an unsigned 32-bit number, little-endian, each. Only a longer document is cut. A null or empty text is the end id alone.
+    White space is dropped by this tokenizer, so ids are looked up by pre-token or word.
     """
     path = path or tokenizer_path("word_bpe_49k.json")
-    rows = docs.select((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-    schema = pa.schema(kinds + ([("ids", pa.list_(pa.int32()))] if keep_ids else []))
-    last = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _piece_ids(path)
-        for part in blocks(batches):
-            columns: dict[str, list] = {name: [] for name in schema.names}
-            for key, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist())):
-                ids += last
-                for piece, at in enumerate(range(0, len(ids), 4 * limit)):
-                    own = ids[at : at + 4 * limit]
-                    for name, value in zip(schema.names, (key, piece, at // 4, len(own) // 4, zlib.crc32(own))):
-                        columns[name].append(value)
-                    if keep_ids:
-                        columns["ids"].append(np.frombuffer(own, "<u4").astype("<i4"))
-            yield from to_batches(columns, schema)
+        for table in _cut_pieces(batches, path, end, limit, keep_ids):
+            yield from table.to_batches()
+
+    return _texts(docs, text, doc_id).mapInArrow(cut, PIECE_DDL if keep_ids else PIECE_DDL.removesuffix(", ids binary"))
 
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else ""))
 
+def packed_documents(docs: DataFrame, limits: Limits = Limits(), text: str | Column = "text", doc_id: str | Column = "doc_id", path: str | None = None, end: int = 1,
+                     block_rows: int = 8192, block_ids_limit: int = 2 << 20, slack: float = 1 / 64) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset``: documents cut into pieces and packed; see ``token_pieces``.
 
-def packed_documents(docs: DataFrame, limits: Limits = Limits(), keep_ids: bool = True, **more) -> DataFrame:
-    """Documents cut into pieces and packed into sequences; see ``token_pieces`` and ``pack``."""
-    pieces = token_pieces(docs, limit=limits.tokens, keep_ids=keep_ids, **more)
-    return pack(pieces, limits=limits)
+    A task packs the pieces it has made, a block of at most ``block_rows`` pieces and about
+    ``block_ids_limit`` ids at a time, so ids stay where they are. Only pieces of sequences with more than ``slack`` of
+    their tokens free, a few of each block, are shuffled and packed again by ``pack``.
+    """
+    path = path or tokenizer_path("word_bpe_49k.json")
+    schema = pa.schema([*PIECE, ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_())])
+
+    def place(tables: list[pa.Table], block: int) -> Iterator[pa.RecordBatch]:
+        table, sequence, offset = _placed(pa.concat_tables(tables), ("doc_id", "piece"), "length", limits)
+        used = np.bincount(sequence, weights=table.column("length").to_numpy())
+        found = table.append_column("sequence_id", pa.array(sequence + (block << 20), pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+        yield from found.append_column("open", pa.array(used[sequence] < limits.tokens * (1 - slack))).cast(schema).to_batches(max_chunksize=1024)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A task's blocks are numbered below 2^20 with room for 2^20 sequences each.
+        names = ((name >> 32) * (1 << 20) + (name & 0xFFFFF) for name in block_ids())
+        held: list[pa.Table] = []
+        for table in _cut_pieces(batches, path, end, limits.tokens, True):
+            held.append(table)
+            if sum(t.num_rows for t in held) >= block_rows or sum(t.column("ids").nbytes for t in held) >= 4 * block_ids_limit:
+                yield from place(held, next(names))
+                held = []
+        if held:
+            yield from place(held, next(names))
+        held = []
+        release()
+
+    ddl = f"{PIECE_DDL}, sequence_id long, offset long"
+    # By folder, so that the few pieces to pack again are read without the others.
+    where = f"{scratch_dir(docs.sparkSession)}/packed-{uuid.uuid4().hex}"
+    _texts(docs, text, doc_id).mapInArrow(run, f"{ddl}, open boolean").write.partitionBy("open").parquet(where)
+    packed = docs.sparkSession.read.schema(f"{ddl}, open boolean").parquet(where)
+    # Sequences of the second packing have negative ids.
+    again = pack(packed.filter("open").drop("open"), limits=limits, block_rows=block_rows).withColumn("sequence_id", -1 - F.col("sequence_id"))
+    return packed.filter("not open").drop("open").unionByName(again)
 
 
 def digests(packed: DataFrame) -> DataFrame:
     """``packed`` with ``ids_crc32`` taken anew from its ``ids``, which go."""
-    rows = packed.drop("ids_crc32")
-    schema = packed.drop("ids").select(*[c for c in packed.columns if c not in ("ids", "ids_crc32")], "ids_crc32").schema
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("ids"))
-            ids, ends = lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False), lists.offsets.to_pylist()
-            found = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends, ends[1:])]
-            yield batch.drop_columns("ids").append_column("ids_crc32", pa.array(found, pa.int64()))
-
-    return rows.mapInArrow(digest, schema).select(*[c for c in packed.columns if c != "ids"])
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
