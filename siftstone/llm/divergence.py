@@ -104,13 +104,16 @@ def tile_distances(p: np.ndarray, absent_p: np.ndarray, q: np.ndarray, absent_q:
 
 def _tile(rows: pd.DataFrame) -> pd.DataFrame:
     """Partial distances of the groups of one tile: ``lang, source, other, value, columns``."""
-    _, column = np.unique(rows["term"].to_numpy(), return_inverse=True)
-    width = int(column.max()) + 1
+    real = rows["term"].notna().to_numpy()
+    column = np.full(len(rows), -1)
+    terms, column[real] = np.unique(rows["term"].to_numpy()[real].astype(str), return_inverse=True)
+    width = len(terms)
 
     def half(own: np.ndarray):
         names, row = np.unique(rows["source"].to_numpy()[own], return_inverse=True)
         p, absent = np.zeros((len(names), width), "i8"), np.zeros(len(names), "i8")
-        p[row, column[own]] = rows["p"].to_numpy()[own]
+        held = real[own]
+        p[row[held], column[own][held]] = rows["p"].to_numpy()[own][held]
         absent[row] = rows["absent"].to_numpy()[own]
         return names, p, absent
 
@@ -131,8 +134,11 @@ def pair_distances(cells: DataFrame, groups: DataFrame) -> DataFrame:
     """
     sizes = groups.groupBy("lang").agg(F.ceil(F.count("*") / TILE_GROUPS).cast("int").alias("bands"), F.ceil(F.max("terms") / TILE_TERMS).cast("int").alias("strips"))
     dealt = cells.join(groups.select("lang", "source", "absent"), ["lang", "source"]).join(sizes, "lang")
-    band = F.pmod(F.xxhash64("source"), F.col("bands")).cast("int")
-    dealt = dealt.withColumn("band", band).withColumn("strip", F.pmod(F.xxhash64("term"), F.col("strips")).cast("int"))
+    dealt = dealt.withColumn("strip", F.pmod(F.xxhash64("term"), F.col("strips")).cast("int"))
+    # A group stands in every strip, also where it has no term: others have some there.
+    stands = groups.filter("terms > 0").join(sizes, "lang").select("lang", "source", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("p"), "absent", "bands", "strips",
+                                                                   F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("strip"))
+    dealt = dealt.unionByName(stands).withColumn("band", F.pmod(F.xxhash64("source"), F.col("bands")).cast("int"))
     # A band meets itself and each other band once: as the left half with later ones, as the right half with earlier ones.
     met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("bands") - 1)))
     met = met.select("lang", "source", "term", "p", "absent", "strip", F.least("band", "with").alias("a"), F.greatest("band", "with").alias("b"), (F.col("band") <= F.col("with")).alias("left"))
