@@ -89,19 +89,20 @@ def predictor(model: Model, batch: int = 256):
 def fit(labelled: DataFrame, sample_per_language: int = 1500, landmarks_per_language: int = 64, ridge: float = 1e-4) -> Model:
     """A model from ``text`` and ``lang``; rows with a null in either or without a letter are left out.
 
-    About ``sample_per_language`` rows of each language are drawn by a hash
+    About ``sample_per_language`` distinct texts of each language are drawn by a hash
     of the text, so the training set is bounded whatever the table; the same
-    table gives the same model. No labelled row at all gives a model that
+    table gives the same model. No labelled row with a letter at all gives a model that
     answers ``und``.
     """
-    rows = labelled.select("text", F.col("lang").alias("label")).filter(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = {r["label"]: r["n"] for r in labelled.filter(F.col("lang").isNotNull()).groupBy(F.col("lang").alias("label")).agg(F.count("*").alias("n")).collect()}
+    rank = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
+    rows = labelled.select("text", F.col("lang").alias("label"), rank.alias("rank")).filter(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    # Copies of a text are one: they neither crowd out others nor are read more than once.
+    sizes = {r["label"]: r["n"] for r in rows.select("label", "rank").distinct().groupBy("label").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], b"", np.zeros((0, 0)))
     share = F.create_map(*(x for name, n in sizes.items() for x in (F.lit(name), F.lit(min(1.0, sample_per_language / n)))))
-    rank = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
-    sample = rows.withColumn("rank", rank).filter(F.col("rank") < share[F.col("label")])
+    sample = rows.filter(F.col("rank") < share[F.col("label")]).dropDuplicates(["label", "rank"])
 
     def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, rows=512):
@@ -111,6 +112,8 @@ def fit(labelled: DataFrame, sample_per_language: int = 1500, landmarks_per_lang
 
     # Bounded: sample_per_language times languages rows of a kilobyte.
     drawn = sample.mapInArrow(flags, "label string, rank double, flags binary").dropDuplicates(["label", "flags"]).toArrow().to_pydict()
+    if not drawn["label"]:
+        return Model([], b"", np.zeros((0, 0)))
     order = sorted(range(len(drawn["label"])), key=lambda i: (drawn["label"][i], drawn["rank"][i], drawn["flags"][i]))
     labels = np.array([languages.index(drawn["label"][i]) for i in order])
     packed = np.frombuffer(b"".join(drawn["flags"][i] for i in order), "u1").reshape(len(order), -1)

@@ -152,6 +152,19 @@ def test_language_accuracy_held_out(spark):
     assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.98 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_of_copies_and_of_labels_without_letters(spark):
+    """Thousands of copies of one sentence are one text to learn from; labels of texts without a letter teach nothing."""
+    english = [f"the cat number {chr(97 + i % 26)}{chr(97 + i // 26)} sat on the mat and looked at this" for i in range(300)]
+    german = "der Hund läuft über die Straße und bellt sehr laut"
+    copies = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit(german).alias("text"), F.lit("de").alias("lang"))
+    rows = copies.unionByName(spark.createDataFrame([(10_000 + i, x, "en") for i, x in enumerate(english)], "doc_id long, text string, lang string"))
+    model = language_id.fit(rows)
+    asked = spark.createDataFrame([(1, german), (2, "die Straße und der Hund"), (3, english[0]), (4, "the mat and the cat")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.predict_languages(asked, model).collect()} == {1: "de", 2: "de", 3: "en", 4: "en"}
+    none = language_id.fit(spark.createDataFrame([(1, "123", "en"), (2, "456", "de"), (3, None, "fr")], "doc_id long, text string, lang string"))
+    assert {(r.lang_pred, r.score) for r in language_id.predict_languages(asked, none).collect()} == {("und", 0.0)}
+
+
 def test_language_odd_rows(spark, odd, odd_rows, empty):
     model = language_id.fit(odd)
     rows = language_id.predict_languages(odd.withColumn("score", F.lit("clash")), model).collect()
