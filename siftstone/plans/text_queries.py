@@ -191,8 +191,10 @@ def document_hash() -> str:
 
 _REL = """CASE WHEN NOT starts_with(path, '/') THEN regexp_replace(regexp_replace(path, '^[.]/', ''), '/$', '')
  WHEN starts_with(path, '/data/repo/') THEN regexp_extract(path, '([0-9]+)//', 1) || '/f.go' ELSE path END"""
-_ROUTE = rf"""len({Q.query_tokens('text')}) > 0 AND ((NOT regexp_matches(trim(text), '\s') AND (regexp_matches(text, '[\p{{Nd}}/._:()\[\]{{}}-]')
- OR (regexp_matches(text, '\p{{Lu}}') AND regexp_matches(text, '\p{{Ll}}')))) OR (len({Q.query_tokens('text')}) = 1 AND length(({Q.query_tokens('text')})[1]) <= 3))"""
+# Words as they are told apart, without the steps of the tokeniser; whole documents are routed, so each term is linear.
+_WORDS = r"list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+'))"
+_ROUTE = rf"""regexp_matches(text, '[\p{{L}}\p{{Nd}}]') AND ((NOT regexp_matches(trim(text), '\s') AND (regexp_matches(text, '[\p{{Nd}}/._:()\[\]{{}}-]')
+ OR (regexp_matches(text, '\p{{Lu}}') AND regexp_matches(text, '\p{{Ll}}')))) OR (len({_WORDS}) = 1 AND length(({_WORDS})[1]) <= 3))"""
 _TURN_SCORE = f"""WITH asked AS (SELECT conv_id, turn, {_N('text')} AS phrase, {Q.query_tokens('text')} AS tokens, {_N('body')} AS tn, {_N('path')} AS pn, {_N(Q.base_name('path'))} AS bn FROM turn_pairs_v),
 tok AS (SELECT *, len(tokens) AS n, unnest(tokens) AS token FROM asked), distinct_tokens AS (SELECT DISTINCT token FROM tok), variants AS ({Q.variants('distinct_tokens')}),
 best AS (SELECT conv_id, turn, phrase, tn, pn, n, t.token, max(CASE WHEN contains(tn, variant) THEN weight ELSE 0 END) AS wt,
