@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import index as I
-from ..session import scratch_dir
+from ..session import materialize, scratch_dir
 from ..sources import rules
 from ..sources.tables import IndexStore
 from .views import view, with_views
@@ -164,6 +164,31 @@ def write_read_index(spark, sf):
     return I.embedding_symbols(symbols, vectors).select("snapshot_id", "path", "symbol_id", F.md5("body").alias("body"), F.size("embedding").alias("dim"))
 
 
+def index_rounds(spark, sf):
+    """Two index runs over the source files: all of them, then without some, with others changed; the manifest moves on each time."""
+    import uuid
+
+    from ..operators.embed import hashing_embedder
+    from .workflows import index_files, publish_digest
+
+    store = IndexStore(spark, f"{scratch_dir(spark)}/rounds-{uuid.uuid4().hex}")
+    files = view(spark, sf, "source_files_v")
+    key = F.regexp_extract("path", r"p(\d+)\.", 1).cast("long")
+    changed = files.filter(key % 7 != 0).withColumn("content", F.when(key % 3 == 0, F.concat("content", F.lit("\n"))).otherwise(F.col("content")))
+    manifests = spark.createDataFrame([("parts", 1)], "repo string, version long")
+    out = None
+    for number, round_files in enumerate((files, changed), 1):
+        counts = index_files(store, round_files.withColumn("content", F.col("content").cast("binary")), hashing_embedder(16), 16)
+        owner = store.pointers().first()
+        bumped = publish_digest(store, manifests, "parts", owner["provider"], owner["model_id"])
+        manifests = materialize(bumped.select("repo", "version", "indexing_hash", "source"), "manifests")
+        row = counts.crossJoin(manifests).select(
+            F.lit(number).alias("round"), "indexed_files", "indexed_symbols", "reused_files", "reused_symbols", F.lit(store.table("embeddings").count()).alias("vectors"),
+            F.lit(store.table("snapshots").count()).alias("snapshots"), "version", "source", F.length("indexing_hash").alias("hash_length"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def begin_snapshot(spark, sf):
     """The number the next snapshot of each model would get."""
     symbols = view(spark, sf, "snapshot_symbols_v")
@@ -247,6 +272,10 @@ QUERIES = {
  WHEN NOT l.has_index OR l.version <> p.version OR trim(l.indexing_hash) <> trim(p.indexing_hash) THEN 'download'
  WHEN greatest(l.schema_version, 1) <> p.schema_version OR trim(l.ci_url) <> coalesce(nullif(trim(p.ci_url), ''), trim(l.ci_url)) THEN 'metadata-refresh' ELSE 'up-to-date' END AS action
  FROM manifests_v l LEFT JOIN published_v p ON l.repo = p.repo""", "manifests_v", "published_v")),
+    "index_rounds": (index_rounds, """SELECT 1::INT AS round, 4 * count(*) AS indexed_files, 10 * count(*) AS indexed_symbols, 0::BIGINT AS reused_files, 0::BIGINT AS reused_symbols,
+ 10 * count(*) AS vectors, 1::BIGINT AS snapshots, 2::BIGINT AS version, 'local' AS source, 64::INT AS hash_length FROM part
+ UNION ALL SELECT 2, 4 * count(*), 10 * count(*), 4 * count(*) FILTER (p_partkey % 3 <> 0), 10 * count(*) FILTER (p_partkey % 3 <> 0), 10 * count(*), 1, 3, 'local', 64
+ FROM part WHERE p_partkey % 7 <> 0"""),
     "write_read_index": (write_read_index, with_views(f"""SELECT s.snapshot_id, s.path, s.symbol_id, md5(s.body) AS body, len(e.embedding)::INT AS dim FROM snapshot_symbols_v s JOIN pointers_v p ON {_ACTIVE}
  JOIN model_embeddings_v e ON {_E} WHERE s.model_id = 'en'""", *_IDX)),
 }

@@ -64,6 +64,8 @@ def index_files(store: IndexStore, files: DataFrame, embedder: E.Embedder, dim:
     header, staged = I.stage_state(listed, owner, version, fingerprint)
     store.append("hash_states", header)
     store.append("state_files", staged)
+    if not I.activation_errors(header, store.table("hash_states")).isEmpty():
+        raise RuntimeError("state-not-owned")
     store.write_pointers("current_states", I.activate_pointers(
         store.pointers("current_states"), header, "state_version"))
     written = store.table("snapshot_symbols").filter(mine & (F.col("snapshot_id") == snapshot_id))

@@ -159,6 +159,30 @@ def test_incremental_equals_full(spark, tmp_path):
     assert hits[0].path == "b.py" and hits[0].qualified_name == "extra" and {h.query_id for h in hits} == {"q1", "q2"}
 
 
+@pytest.mark.parametrize("broken", ["write_pointers", "_drop_generations"])
+def test_vectors_survive_a_vacuum_that_ends_early(spark, tmp_path, monkeypatch, broken):
+    store = IndexStore(spark, str(tmp_path))
+    rows = [("local", "m:1", f"h{i}", 2, [float(i), 1.0]) for i in range(6)] + [("local", "other", "h0", 2, [0.0, 0.0])]
+    store.append("embeddings", spark.createDataFrame(rows, schemas.EMBEDDINGS))
+    used = spark.createDataFrame([(1, "local", "m:1", "p", 1, f"s{i}", f"h{i}") for i in range(4)],
+                                 "snapshot_id long, provider string, model_id string, path string, line int, symbol_id string, embedding_hash string")
+    store.append("snapshot_symbols", used.select("*", *[F.lit("").alias(f.name) for f in schemas.SNAPSHOT_SYMBOLS if f.name not in used.columns]))
+    held = lambda: sorted(r.embedding_hash for r in store.table("embeddings").filter("model_id = 'm:1'").collect())
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(IndexStore, broken, stop)
+        with pytest.raises(RuntimeError):
+            store.vacuum_embeddings("local", "m:1")
+    assert held() == [f"h{i}" for i in range(6 if broken == "write_pointers" else 4)]
+    assert store.vacuum_embeddings("local", "m:1") == (2 if broken == "write_pointers" else 0) and held() == [f"h{i}" for i in range(4)]
+    assert len(store._generations("local", "m:1")) == 1 and store.table("embeddings").count() == 5
+    store.append("embeddings", spark.createDataFrame([("local", "m:1", "h9", 2, [9.0, 1.0])], schemas.EMBEDDINGS))
+    assert held() == ["h0", "h1", "h2", "h3", "h9"]
+
+
 def test_no_active_snapshot(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path))
     with pytest.raises(index.NoActiveSnapshot):
