@@ -133,8 +133,11 @@ def _tasks(index: DataFrame) -> int:
     plan = index._jdf.queryExecution()
     if not plan.executedPlan().nodeName().startswith("Adaptive"):
         return index.rdd.getNumPartitions()
+    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # of unknown size
+        return int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     advised = index._jdf.sparkSession().sessionState().conf().getConf(index.sparkSession._jvm.org.apache.spark.sql.internal.SQLConf.ADVISORY_PARTITION_SIZE_IN_BYTES())
-    return int(str(plan.optimizedPlan().stats().sizeInBytes())) // int(advised) + 1
+    return size // int(advised) + 1
 
 
 def _in_waves(table: pd.DataFrame, index: DataFrame, k: int, dim: int, schema: T.StructType, query_vector: str, vector: str) -> DataFrame:
