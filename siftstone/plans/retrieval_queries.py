@@ -20,6 +20,11 @@ def lexical_search(spark, sf):
     return postings.lexical_search(view(spark, sf, "queries_v"), view(spark, sf, "symbols_v"))
 
 
+def lexical_search_indexed(spark, sf):
+    """The same hits by an inverted index."""
+    return postings.search_postings(postings.build_postings(view(spark, sf, "symbols_v")), view(spark, sf, "queries_v"))
+
+
 def vector_knn_all(spark, sf):
     return vector_knn(view(spark, sf, "vector_queries_v"), view(spark, sf, "embeddings_v"), 10)
 
@@ -124,6 +129,7 @@ WHERE r.route = 'lexical' OR (r.mode <> 'semantic' AND t.query_id NOT IN (SELECT
 
 QUERIES = {
     "lexical_search": (lexical_search, with_views(f"WITH {_LEX} SELECT query_id, path, line, qualified_name, symbol_id, lexical_score, rank::INT AS rank FROM top_lexical", *_VIEWS)),
+    "lexical_search_indexed": (lexical_search_indexed, with_views(f"WITH {_LEX} SELECT query_id, path, line, qualified_name, symbol_id, lexical_score, rank::INT AS rank FROM top_lexical", *_VIEWS)),
     "vector_knn": (vector_knn_all, with_views(_KNN, "vector_queries_v", "embeddings_v")),
     "vector_knn_cells": (vector_knn_cells, with_views(_KNN, "vector_queries_v", "embeddings_v")),
     "semantic_max_distance": (semantic_max_distance, with_views(f"""WITH {_NEAR.replace('WHERE e.embedding_hash IN (SELECT embedding_hash FROM symbols_v)', '')}
