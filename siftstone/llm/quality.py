@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from siftstone.session import materialize
 
-from .common import block_ids, blocks, to_batches, whole_text
+from .common import block_ids, blocks, release, to_batches, whole_text
 
 BEGIN, END = "\x02", "\x03"
 BLOCK = {"rows": 16_384, "size": 16 << 20}
@@ -90,6 +90,8 @@ def count_grams(texts: DataFrame, order: int) -> DataFrame:
                 names, numbers, _ = grams(padded, order)
                 total.update(dict(zip(names, np.bincount(numbers, minlength=len(names)).tolist())))
             yield from to_batches({"gram": list(total), "c": list(total.values())}, pa.schema([("gram", pa.string()), ("c", pa.int64())]))
+        part = total = None
+        release()
 
     return texts.select("text").mapInArrow(count, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
@@ -160,6 +162,8 @@ def score_documents(docs: DataFrame, model: KneserNey) -> DataFrame:
         for number, part in zip(block_ids(), blocks(batches, **BLOCK)):
             names = list(set().union(*(grams(padded, order)[0] for padded, _ in pieces(part.column("text").to_pylist(), order))))
             yield from to_batches({"block": [number] * len(names), "gram": names}, pa.schema([("block", pa.int64()), ("gram", pa.string())]))
+        part = names = None
+        release()
 
     kinds = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("text_hash", pa.list_(pa.int64())), ("lang", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())), ("texts", pa.binary())])
 
@@ -168,6 +172,8 @@ def score_documents(docs: DataFrame, model: KneserNey) -> DataFrame:
             texts = [x.encode("utf-8", "surrogatepass") for x in part.column("text").to_pylist()]
             row = {name: [part.column(name).to_pylist()] for name in ("doc_id", "text_hash", "lang")}
             yield from to_batches({"block": [number], **row, "sizes": [[len(x) for x in texts]], "texts": [zstandard.compress(b"".join(texts), 6)]}, kinds)
+        part = texts = row = None
+        release()
 
     out = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("nll", pa.float64()), ("words", pa.int64()), ("repeats", pa.int64())])
 
@@ -191,7 +197,10 @@ def score_documents(docs: DataFrame, model: KneserNey) -> DataFrame:
                 n_words, n_repeats = repeats(text)
                 columns["words"].append(n_words)
                 columns["repeats"].append(n_repeats)
-        return pa.table(columns, schema=out)
+        found = pa.table(columns, schema=out)
+        logs = columns = data = texts = None
+        release()
+        return found
 
     rows = _rows(docs)
     asked = materialize(rows.select("text").mapInArrow(ask, "block long, gram string"), "asked")
