@@ -1,6 +1,8 @@
-"""Near copies by the exact Jaccard similarity of their sets of word shingles.
+"""Near copies by SimHash and the exact Jaccard similarity of their sets of word shingles.
 
-Candidates come from a prefix filter, which loses no pair: with all shingles in
+The vantage-point tree of ``simhash.py`` gives the first candidates: fingerprints of the same
+shingles within a few bits, compared whole. Pairs of the similarity asked for may differ in more bits, so a
+prefix filter, which loses no pair, gives those among what is still apart: with all shingles in
 one order, two sets of similarity ``t`` share a shingle among the first
 ``n - ceil(t n) + 1`` of each. The order is by frequency in a sample, rarest first, so
 passages in many documents seldom make candidates; it decides how many there are, not what is found.
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from siftstone.session import materialize
 
 from .common import blocks, to_batches, whole_text
+from . import simhash
 from .simhash import LOWER, components
 
 EPSILON = 1e-9
@@ -73,13 +76,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, size: int = 5, similarity: float = 0.8, sample: int = 5_000, least: int = 3) -> DataFrame:
-    """``doc_id, text_hash, node`` of every row; where a block has a set for the first time also ``n, histogram, prefix, frequent``.
+    """``doc_id, text_hash, node`` of every row; where a block has a set for the first time also ``print, n, histogram, prefix, frequent``.
 
-    ``node`` is a hash of the set; ``prefix`` holds its first shingles in the common order, of which
+    ``node`` is a hash of the set, ``print`` the SimHash of the text's shingles; ``prefix`` holds its first shingles in the common order, of which
     ``frequent`` tells whether the sample knows them.
     """
     keys, counts = _frequent(docs, size, sample, least)
-    kinds = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("histogram", pa.binary()), ("prefix", pa.list_(pa.int64())), ("frequent", pa.list_(pa.bool_()))]
+    kinds = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("print", pa.int64()), ("n", pa.int32()), ("histogram", pa.binary()), ("prefix", pa.list_(pa.int64())), ("frequent", pa.list_(pa.bool_()))]
     out = pa.schema(kinds)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,9 +92,10 @@ def prefixes(docs: DataFrame, size: int = 5, similarity: float = 0.8, sample: in
             columns: dict[str, list] = {name: [] for name in out.names[2:]}
             seen: set[int] = set()  # nodes of this block
             for text in part.column("text"):
-                own = shingles(text.as_py(), size)
+                whole = text.as_py()
+                own = shingles(whole, size)
                 node = int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 7)).view("i8"))
-                row: tuple = (node, None, None, None, None)
+                row: tuple = (node, None, None, None, None, None)
                 if node not in seen:
                     seen.add(node)
                     n = len(own)
@@ -101,12 +105,13 @@ def prefixes(docs: DataFrame, size: int = 5, similarity: float = 0.8, sample: in
                         at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                         rank = np.where(keys[at] == own, counts[at], 0)
                     first = np.lexsort((own, rank))[: n and n - math.ceil(similarity * n - EPSILON) + 1]
-                    row = (node, n, histogram, own[first].view("i8"), rank[first] > 0)
+                    own_print = int(np.uint64(simhash.fingerprint(whole, size)).view("i8"))
+                    row = (node, own_print, n, histogram, own[first].view("i8"), rank[first] > 0)
                 for name, value in zip(out.names[2:], row):
                     columns[name].append(value)
             yield from to_batches({"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), **columns}, out, 1024)
 
-    ddl = "doc_id long, text_hash long, node long, n int, histogram binary, prefix array<long>, frequent array<boolean>"
+    ddl = "doc_id long, text_hash long, node long, print long, n int, histogram binary, prefix array<long>, frequent array<boolean>"
     return _keyed(docs).mapInArrow(read, ddl)
 
 
@@ -166,13 +171,25 @@ def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, si
     return materialize(both.filter(F.col("shared") >= similarity * (F.size("of_a") + F.size("of_b") - F.col("shared")) - EPSILON).select("a", "b"), "similar")
 
 
+def tree_pairs(nodes: DataFrame, radius: int = simhash.RADIUS) -> DataFrame:
+    """``a, b``: a spanning forest of the ``nodes`` whose ``print`` is within ``radius`` bits, by the vantage-point tree; equal prints hang on one of them."""
+    holders = materialize(nodes.groupBy("print").agg(F.min("node").alias("holder")), "prints")
+    of = lambda side: holders.select(F.col("print").alias(side), F.col("holder").alias(f"of_{side}"))
+    near = simhash.links(holders.select("print"), radius=radius).join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    equal = nodes.select("node", "print").join(holders, "print").select(F.col("holder").alias("a"), F.col("node").alias("b"))
+    return near.unionByName(equal).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar(marked: DataFrame, docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``a, b``: links whose components are those of all pairs of distinct ``node`` of at least ``similarity``.
 
     ``marked`` is ``prefixes`` of ``docs``, written.
     """
     own = marked.filter("prefix is not null")
-    nodes = materialize(own.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "n", "histogram")).alias("x")).select("node", "x.*"), "nodes")
+    nodes = materialize(own.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "print", "n", "histogram")).alias("x")).select("node", "x.*"), "nodes")
+    by_print = materialize(tree_pairs(nodes), "tree-pairs")
+    close = _compared(by_print, docs, nodes, size, similarity)
+    joined = materialize(components(close), "tree-roots")
     # n and the place in the prefix as one number, to keep rows short.
     entries = own.select("node", F.posexplode(F.arrays_zip("prefix", "frequent")).alias("pos", "e"), "n").select(
         F.col("e.prefix").alias("shingle"), F.col("e.frequent").alias("frequent"), "node", (F.col("n").cast("long") * (1 << 32) + F.col("pos")).alias("place"))
@@ -189,8 +206,13 @@ def similar(marked: DataFrame, docs: DataFrame, size: int = 5, similarity: float
         return F.shiftright(column, 32), column.bitwiseAND(F.lit((1 << 32) - 1))
 
     star = held.filter((F.col("node") != F.col("first")) & _possible(*parts("place"), *parts("first_place"), similarity))
-    tried = materialize(star.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "tried")
-    near = _compared(tried, docs, nodes, size, similarity)
+    star = star.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct().join(by_print, ["a", "b"], "left_anti")
+    # What the tree has joined is not tried again.
+    rooted = lambda side: joined.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    star = star.join(rooted("a"), "a", "left").join(rooted("b"), "b", "left").filter(~F.col("root_a").eqNullSafe(F.col("root_b")) | F.col("root_a").isNull()).select("a", "b")
+    star = materialize(star, "star")
+    tried = star.unionByName(by_print)
+    near = close.unionByName(_compared(star, docs, nodes, size, similarity))
     roots = materialize(components(near), "roots")
     rooted = held.join(roots, "node", "left").select("shingle", "node", "place", F.coalesce("root", "node").alias("root"))
     apart = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle")
