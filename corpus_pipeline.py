@@ -3,7 +3,7 @@
 1. quality classifier: documents above their language's perplexity threshold go;
 2. language ID: documents that no learnt language claims go;
 3. line dedup: lines that an earlier one equals or nearly equals go;
-4. near-dedup: of each component of near copies (five-word shingles, Jaccard 0.8 or more) the least ``doc_id`` stays;
+4. near-dedup: of each component of near copies (five-word shingles, Jaccard 0.8 or more; found by the SimHash tree, then by a prefix filter) the least ``doc_id`` stays;
 5. best-fit packing: what is left becomes sequences of at most 4,096 tokens.
 """
 
