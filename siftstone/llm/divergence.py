@@ -121,7 +121,8 @@ def _tile(rows: pd.DataFrame) -> pd.DataFrame:
     same = rows["a"].iloc[0] == rows["b"].iloc[0]
     names, p, absent_p = half(left)
     others, q, absent_q = (names, p, absent_p) if same else half(~left)
-    value = tile_distances(p, absent_p, q, absent_q)
+    # A half of a tile may have no group, and all of them no term in its strip.
+    value = tile_distances(p, absent_p, q, absent_q) if p.size and q.size else np.zeros((len(names), len(others)), "i8")
     i, j = np.nonzero(np.triu(np.ones(value.shape, bool), 1) if same else np.ones(value.shape, bool))
     return pd.DataFrame({"lang": rows["lang"].iloc[0], "source": names[i], "other": others[j], "value": value[i, j], "columns": width})
 
