@@ -33,9 +33,17 @@ REMEMBERED = 250_000
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-# Of ASCII texts, and of texts of these characters alone, the pre-tokens are known: once in lower case, what PLAIN finds.
+# Of ASCII texts, and of texts of these characters alone, the pre-tokens are known: once in lower case, what PLAIN finds (``plain_words`` finds the same for many texts at once).
 SIMPLE = re.compile(r"[\x00-\x7FÀ-ÖØ-öø-ÿ]*+")
 PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^ \t\n\r\x0B\x0Ca-zß-öø-ÿ0-9]+")
+# The same by bytes of UTF-8: all that is not ASCII in such texts is a letter of two bytes, lowered in its second.
+BLANK, LETTER, DIGIT, OTHER = range(4)
+KIND = np.full(256, OTHER, "u1")
+KIND[list(b" \t\n\r\x0B\x0C")], KIND[list(b"0123456789")] = BLANK, DIGIT
+KIND[ord("a") : ord("z") + 1] = KIND[128:] = LETTER
+LOWER = np.arange(256).astype("u1")
+LOWER[ord("A") : ord("Z") + 1] += 32
+LOWER[0x80:0x9F] += 32
 
 
 @dataclass(frozen=True)
@@ -128,6 +136,31 @@ def pack(pieces: DataFrame, keys: tuple[str, ...] = ("doc_id", "piece"), length:
     return pieces.withColumn("pack_block", F.pmod(salt, F.lit(n_blocks))).groupBy("pack_block").applyInArrow(place, schema)
 
 
+def plain_words(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+    """What ``PLAIN`` finds in the lower case of SIMPLE texts, one after the other, and where each text's words begin and end."""
+    coded = [text.encode() for text in texts]
+    # Blanks after a text end its last word; four at the end of all let an apostrophe look ahead.
+    data = LOWER[np.frombuffer(b" ".join([*coded, b"   "]), "u1")]
+    kind = KIND[data]
+    inside = kind != BLANK
+    starts = np.empty(len(kind), bool)
+    starts[:1] = inside[:1]
+    starts[1:] = inside[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
+    mark = np.flatnonzero(starts & (data == ord("'")))
+    after = data[mark + 1]
+    two = mark[np.isin(after, list(b"stmd"))]
+    pairs = after.astype("u2") << 8 | data[mark + 2]
+    three = mark[np.isin(pairs, [int.from_bytes(x, "big") for x in (b"re", b"ve", b"ll")])]
+    starts[two + 1] = starts[three + 1] = False
+    starts[two + 2], starts[three + 3] = inside[two + 2], inside[three + 3]
+    ends = np.cumsum([len(x) + 1 for x in coded], dtype="i8")
+    at = np.flatnonzero(starts)
+    cuts = np.searchsorted(at, np.concatenate(([0], ends)))
+    data = data[inside]
+    offsets = np.append(np.flatnonzero(starts[inside]), len(data)).astype("i4")
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)), cuts
+
+
 def _piece_ids(path: str):
     """Ids of whole texts as little-endian bytes, pre-token by pre-token (else word by word) with a bounded memory."""
     tokenizer = word_tokenizer(path)
@@ -170,13 +203,23 @@ def _piece_ids(path: str):
 
     def ids(texts: list[str]) -> list[bytes]:
         nonlocal known
-        words = [PLAIN.findall(text.lower()) if (text.isascii() or SIMPLE.fullmatch(text)) and not any(map(text.__contains__, added)) else WORD.findall(text) for text in texts]
-        own = set().union(*words)
+        simple = [(text.isascii() or SIMPLE.fullmatch(text) is not None) and not any(map(text.__contains__, added)) for text in texts]
+        words, cuts = plain_words([text for text, plain in zip(texts, simple) if plain])
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        others = [WORD.findall(text) for text, plain in zip(texts, simple) if not plain]
+        own = set(distinct).union(*others)
         if len(known) > REMEMBERED:
             known = {word: known[word] for word in own if word in known}
         learn(list(own.difference(known)))
         get = known.__getitem__
-        return [b"".join(map(get, x)) for x in words]
+        # The ids of all plain words one after the other: a text's are a part of them.
+        found = pa.array(map(get, distinct), pa.large_binary(), size=len(distinct)).take(coded.indices)
+        places = np.frombuffer(found.buffers()[1], "i8")[cuts].tolist() if len(found) else [0] * len(cuts)
+        data = memoryview(found.buffers()[2]) if len(found) else b""
+        plain_ids = (bytes(data[a:b]) for a, b in zip(places, places[1:]))
+        other_ids = (b"".join(map(get, x)) for x in others)
+        return [next(plain_ids if plain else other_ids) for plain in simple]
 
     return ids
 
