@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from siftstone.session import materialize
 
-from .common import blocks, to_batches, whole_text
+from .common import blocks, release, to_batches, whole_text
 from . import simhash
 from .simhash import LOWER, components
 
@@ -110,6 +110,8 @@ def prefixes(docs: DataFrame, size: int = 5, similarity: float = 0.8, sample: in
                 for name, value in zip(out.names[2:], row):
                     columns[name].append(value)
             yield from to_batches({"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), **columns}, out, 1024)
+        part = columns = None
+        release()
 
     ddl = "doc_id long, text_hash long, node long, print long, n int, histogram binary, prefix array<long>, frequent array<boolean>"
     return _keyed(docs).mapInArrow(read, ddl)
@@ -153,6 +155,8 @@ def _needed_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
                 sets = [shingles(x.as_py(), size).view("i8") for x in part.column("text")]
                 yield from to_batches({"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "shingles": sets},
                                       pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("shingles", pa.list_(pa.int64()))]), 512)
+        batch = rows = part = sets = None
+        release()
 
     made = _keyed(docs).withColumn("spot", spot).mapInArrow(read, "doc_id long, text_hash long, shingles array<long>")
     keys = needed.select("node", F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"))

@@ -29,10 +29,12 @@ from .common import block_ids, blocks, release, to_batches, whole_text
 
 BEGIN, END = "\x02", "\x03"
 BLOCK = {"rows": 16_384, "size": 16 << 20}
+#: Hash tables of n-grams begin this small and grow with the distinct ones; else they begin with room for every position.
+HINT = 1 << 14
 
 
-def pieces(texts: list[str], order: int, size: int = 1 << 20) -> Iterator[tuple[list[str], np.ndarray]]:
-    """Padded texts and their numbers, about ``size`` characters at a time; a longer text comes in overlapping pieces."""
+def pieces(texts: list[str], order: int, size: int = 1 << 20, together: int = 1 << 19) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Padded texts and their numbers, about ``together`` characters at a time; a text longer than ``size`` comes in overlapping pieces."""
     held: list[str] = []
     owners: list[int] = []
     n = 0
@@ -43,7 +45,7 @@ def pieces(texts: list[str], order: int, size: int = 1 << 20) -> Iterator[tuple[
             held.append(own)
             owners.append(owner)
             n += len(own)
-            if n >= size:
+            if n >= together:
                 yield held, np.array(owners)
                 held, owners, n = [], [], 0
     if held:
@@ -52,15 +54,15 @@ def pieces(texts: list[str], order: int, size: int = 1 << 20) -> Iterator[tuple[
 
 def grams(padded: list[str], order: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct n-grams of padded texts; for each position its n-gram's number and its text's."""
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype("i8")
-    owners = np.repeat(np.arange(len(padded)), [len(x) for x in padded])
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4")
+    owners = np.repeat(np.arange(len(padded), dtype="i4"), [len(x) for x in padded])
     # Characters first, then one more at a time: numbers stay dense, so no key overflows.
-    numbers, chars = pd.factorize(codes)
+    numbers, chars = pd.factorize(codes, size_hint=HINT)
     spelled = chars.astype("<u4").reshape(-1, 1)
     letters = numbers
     for n in range(2, order + 1):
         keys = numbers[:-1].astype("i8") * len(chars) + letters[n - 1 :]
-        numbers, found = pd.factorize(keys)
+        numbers, found = pd.factorize(keys, size_hint=HINT)
         spelled = np.concatenate((spelled[found // len(chars)], chars[found % len(chars)].astype("<u4").reshape(-1, 1)), axis=1)
     inside = owners[: len(numbers)] == owners[order - 1 :]
     used, numbers = _compact(numbers[inside], len(spelled))
@@ -68,6 +70,14 @@ def grams(padded: list[str], order: int) -> tuple[list[str], np.ndarray, np.ndar
     return [data[i : i + order] for i in range(0, len(data), order)], numbers, owners[order - 1 :][inside]
 
 
+def distinct_grams(texts: list[str], order: int) -> set[str]:
+    """The n-grams of all texts, of which no more than one piece's and the distinct ones are held."""
+    found: set[str] = set()
+    for padded, _ in pieces(texts, order):
+        found.update(grams(padded, order)[0])
+    return found
+
+
 def _compact(numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     seen = np.zeros(size, bool)
     seen[numbers] = True
@@ -160,7 +170,7 @@ def score_documents(docs: DataFrame, model: KneserNey) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, part in zip(block_ids(), blocks(batches, **BLOCK)):
-            names = list(set().union(*(grams(padded, order)[0] for padded, _ in pieces(part.column("text").to_pylist(), order))))
+            names = list(distinct_grams(part.column("text").to_pylist(), order))
             yield from to_batches({"block": [number] * len(names), "gram": names}, pa.schema([("block", pa.int64()), ("gram", pa.string())]))
         part = names = None
         release()
@@ -183,6 +193,7 @@ def score_documents(docs: DataFrame, model: KneserNey) -> DataFrame:
         for row in packed.to_pylist():
             data, ends = zstandard.decompress(row["texts"]), np.cumsum(row["sizes"]).tolist()
             texts = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *ends], ends)]
+            data = row["texts"] = None
             nll = np.zeros(len(texts))
             for padded, texts_at in pieces(texts, order):
                 names, numbers, owners = grams(padded, order)

@@ -43,3 +43,23 @@ def test_low_perplexity_goes(spark):
     rows = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
     assert all(rows[i].keep and rows[i].low_threshold < rows[i].perplexity for i in range(60)) and rows[99].perplexity < rows[99].low_threshold and not rows[99].keep
     assert quality.repeats("a b a b a b") == (6, 3) and quality.repeats("") == (0, 0) and quality.repeats("x") == (1, 0)
+
+
+def test_pieces_stay_small_and_their_tables_begin_small(monkeypatch):
+    texts = [f"{i} plain words and marks, again and again; " * 40 for i in range(1200)]
+    assert sum(map(len, texts)) > 1 << 21
+    seen = []
+    real = quality.pd.factorize
+    monkeypatch.setattr(quality.pd, "factorize", lambda values, **more: seen.append((len(values), more.get("size_hint"))) or real(values, **more))
+    names = quality.distinct_grams(texts, 4)
+    # A table that is not told its size has room for every position at once; a piece is one text over its bound at most.
+    assert seen and all(n <= (1 << 19) + 4000 and hint is not None and hint <= n for n, hint in seen)
+    padded = [quality.BEGIN * 3 + text + quality.END for text in texts]
+    assert names == {text[i : i + 4] for text in padded for i in range(len(text) - 3)}
+
+
+def test_a_text_is_cut_where_it_was(monkeypatch):
+    long = "ab" * 700_000
+    assert [len(padded[0]) for padded, _ in quality.pieces([long], 4)] == [(1 << 20) + 3, len(long) + 4 - (1 << 20)]
+    owners = [owners.tolist() for _, owners in quality.pieces(["x" * 300_000] * 4, 4)]
+    assert owners == [[0, 1], [2, 3]]
